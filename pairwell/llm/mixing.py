@@ -99,11 +99,9 @@ pmf AS (
   SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
   FROM rates, range(0, 200) t(k)),
 cdf AS (SELECT source, k, least(1.0, sum(p) OVER (PARTITION BY source ORDER BY k)) AS c FROM pmf),
-lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
-draws AS (
-  SELECT d.*, len(list_filter(cs, c -> c <= u)) AS times
-  FROM (SELECT *, ('0x' || substr(md5('draw7:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents) d
-  JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
+units AS (SELECT *, ('0x' || substr(md5('draw7:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+times AS (SELECT doc_id, count(*) AS times FROM units d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id),
+draws AS (SELECT * FROM documents JOIN times USING (doc_id)),
 copies AS (SELECT *, unnest(range(1, times + 1)) AS copy FROM draws)
 SELECT doc_id, text, lang, source, n_chars, copy::BIGINT AS copy,
        ('0x' || substr(md5('order7:' || doc_id::VARCHAR || ':' || copy::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS order_key
