@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairwell.llm import chat, decontam, hmm, host_rules, langid, line_dedup, mixing, simhash, token_counts
+from pairwell.llm import chat, decontam, hmm, host_rules, langid, line_dedup, mixing, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_host_rules": host_rules.query,
     "op6_line_dedup": line_dedup.query,
     "op7_chat_templates": chat.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_decontamination": decontam.query,
     "op10_golay_simhash": simhash.query,
 }
