@@ -51,3 +51,8 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A staged table, with a broadcast hint if it is at most so many (short) rows; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -8,14 +8,18 @@ and lengths that do not fit are dropped, and what is left is compared word for w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import ascii_lower, staged, table
+from pairwell.llm.common import ascii_lower, sized as small, staged, table
 
 #: What separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NO_ID = -(2**63)
+#: Shingles or windows of the benchmark that may travel to all tasks.
+CARRIED = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -47,7 +51,7 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """Per document that holds a window: (id_col, hits array<struct<start, len, items>>), found exactly.
+    """Per document that holds a window: (doc, n_words, hits array<struct<start, len, items>>), found exactly.
 
     A window is any 13 consecutive words of an item, or the whole item if it has fewer (but some). Null text
     has no words. Rows with the same id are compared each by itself (see whole_document_key). A null item id
@@ -57,30 +61,48 @@ def find_leaks(
     sized = windows.withColumn("width", F.least(F.size("words"), F.lit(shingle)))
     widths = sorted(r[0] for r in sized.select("width").distinct().collect())  # at most `shingle` numbers
     keyed = docs.select(whole_document_key(id_col, text_col).alias("doc"), words_of(F.col(text_col)).alias("words"))
-    parts, places = None, None
+    hit_type = "array<struct<start:int,len:int,items:array<bigint>>>"
+    if not widths:
+        return keyed.select("doc", F.size("words").alias("n_words"), F.lit(None).cast(hit_type).alias("hits")).where("false")
+    places = []
     for width in widths:
-        at = keyed.select("doc", F.posexplode(shingles(F.col("words"), width)).alias("pos", "key")).withColumn("width", F.lit(width))
-        of = sized.where(F.col("width") == width).select("win", F.size("words").alias("len"), F.posexplode(shingles(F.col("words"), width)).alias("off", "key"))
-        of = of.withColumn("width", F.lit(width))
-        parts, places = (at, of) if parts is None else (parts.unionAll(at), places.unionAll(of))
-    if parts is None:
-        return keyed.select("doc", F.lit(None).cast("array<struct<start:int,len:int,items:array<bigint>>>").alias("hits")).where("false")
-    places = staged(places, "shingles")
-    seen = parts.join(places.select("width", "key").distinct(), ["width", "key"]).groupBy("width", "key").agg(F.count(F.lit(1)).alias("n"))
+        of = sized.where(F.col("width") == width)
+        places.append(of.select("win", F.size("words").alias("len"), F.lit(width).alias("width"), F.posexplode(shingles(F.col("words"), width)).alias("off", "key")))
+    places = staged(reduce(DataFrame.unionAll, places), "shingles")
+    seen = occurrences(keyed, places, widths).groupBy("width", "key").agg(F.count(F.lit(1)).alias("n"))
     rarest = places.join(staged(seen, "rarity"), ["width", "key"]).groupBy("win", "len").agg(F.min(F.struct("n", "off", "width", "key")).alias("first"), F.count(F.lit(1)).alias("found"))
     # a window can only occur where all of its shingles do
     prefix = rarest.where(F.col("found") == F.col("len") - F.col("first.width") + 1).select("win", "len", "first.off", "first.width", "first.key")
-    starts = parts.join(staged(prefix, "prefix"), ["width", "key"]).select("doc", (F.col("pos") - F.col("off")).alias("start"), "len", "win")
-    starts = staged(starts.where(F.col("start") >= 0), "starts")
-    by_doc = starts.join(windows, "win").groupBy("doc").agg(F.collect_set(F.struct("start", "len", "words", "items")).alias("maybe"))
-    texts = keyed.join(starts.select("doc").distinct(), "doc", "left_semi")
-    checked = F.filter(
-        F.col("maybe"),
-        lambda m: (m["start"] + m["len"] <= F.size("words")) & (F.slice(F.col("words"), m["start"] + 1, m["len"]) == m["words"]),
-    )
-    hits = F.transform(checked, lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len"), m["items"].alias("items")))
-    found = texts.dropDuplicates(["doc"]).join(by_doc, "doc").select("doc", hits.alias("hits"))
-    return found.where(F.size("hits") > 0)
+    prefix = staged(prefix.join(windows.select("win", F.col("words").alias("window"), "items"), "win"), "prefix")
+    few = prefix.count() <= CARRIED
+    starts = occurrences(keyed, prefix, widths, words=few).join(F.broadcast(prefix) if few else prefix, ["width", "key"])
+    starts = starts.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0")
+    if not few:  # the words of the documents that are left come back by a join
+        starts = starts.select("doc", "start", "len", "window", "items").join(keyed.dropDuplicates(["doc"]), "doc")
+    fits = (F.col("start") + F.col("len") <= F.size("words")) & (F.slice(F.col("words"), F.col("start") + 1, F.col("len")) == F.col("window"))
+    found = starts.where(fits).select("doc", F.size("words").alias("n_words"), F.struct("start", "len", "items").alias("hit"))
+    return found.groupBy("doc", "n_words").agg(F.collect_set("hit").alias("hits"))
+
+
+def occurrences(keyed: DataFrame, wanted: DataFrame, widths: list[int], words: bool = False) -> DataFrame:
+    """(doc, width, key, pos) wherever a document has one of the wanted(width, key) shingles; also its words, if asked.
+
+    Up to CARRIED keys are looked up while a document is read, so that nothing else leaves the scan; more are joined.
+    """
+    keys = wanted.select("width", "key").distinct()
+    if not words and keys.count() > CARRIED:
+        each = [keyed.select("doc", F.lit(w).alias("width"), F.posexplode(shingles(F.col("words"), w)).alias("pos", "key")) for w in widths]
+        return reduce(DataFrame.unionAll, each).join(keys, ["width", "key"])
+    by_width: dict[int, list[int]] = {w: [] for w in widths}
+    for r in keys.collect():  # at most CARRIED
+        by_width[r.width].append(r.key)
+    found = []
+    for w, some in by_width.items():
+        at = F.transform(shingles(F.col("words"), w), lambda k, i, w=w: F.struct(F.lit(w).alias("width"), k.alias("key"), i.alias("pos")))
+        found.append(F.filter(at, lambda x, some=some: x["key"].isin(some)))
+    rest = ["words"] if words else []
+    rows = keyed.select("doc", *rest, F.concat(*found).alias("found")).where(F.size("found") > 0)
+    return rows.select("doc", *rest, F.explode("found").alias("f")).select("doc", *rest, "f.*")
 
 
 def whole_document_key(id_col: str, text_col: str) -> Column:
@@ -96,7 +118,7 @@ def mark_leaks(docs: DataFrame, bench: DataFrame, max_share: float = 0.05, id_co
     repeat. Columns with the names of the results are replaced. Empty documents give an empty table; an empty
     benchmark hits nothing.
     """
-    leaks = staged(find_leaks(docs, bench, id_col=id_col, text_col=text_col, **kw), "leaks")
+    leaks = find_leaks(docs, bench, id_col=id_col, text_col=text_col, **kw)
     spots = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
     items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.col("hits.items")), lambda i: i.cast("string"))))
     leaks = staged(leaks.select(F.col("doc").alias("__doc"), F.size(F.array_distinct(spots)).cast("long").alias("__hit"), items.alias("__items")), "hit")
@@ -116,11 +138,9 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, max_share: float = 0.05, id_co
     """The rows of docs that mark_leaks does not call contaminated, unchanged."""
     leaks = find_leaks(docs, bench, id_col=id_col, text_col=text_col, **kw)
     spots = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
-    hit = staged(leaks.select(F.col("doc").alias("__doc"), F.size(F.array_distinct(spots)).alias("__hit")), "hit")
-    keyed = docs.withColumn("__key", whole_document_key(id_col, text_col))
-    words = keyed.join(hit, F.col("__key") == F.col("__doc"), "left")
-    over = F.when(F.col("__hit").isNotNull(), F.col("__hit") >= F.lit(max_share) * F.size(words_of(F.col(text_col)))).otherwise(F.lit(False))
-    return words.where(~over).select(*[F.col(f"`{c}`") for c in docs.columns])
+    over = F.size(F.array_distinct(spots)) >= F.lit(max_share) * F.col("n_words")
+    bad = small(staged(leaks.where(over).select(F.col("doc").alias("__doc")), "leaks"))
+    return docs.join(bad, whole_document_key(id_col, text_col) == F.col("__doc"), "left_anti")
 
 
 def query(spark, sf_dir):
