@@ -98,13 +98,17 @@ def occurrences(keyed: DataFrame, wanted: DataFrame, widths: list[int], words: b
         by_width[r.width].append(r.key)
     found = []
     for w, some in by_width.items():
-        at = F.transform(shingles(F.col("words"), w), lambda k, i, w=w: F.struct(F.lit(w).alias("width"), k.alias("key"), i.alias("pos")))
-        found.append(F.filter(at, lambda x, some=some: x["key"].isin(some)))
+        found.append(_places(shingles(F.col("words"), w), w, some))
     rest = ["words"] if words else []
     rows = keyed.select("doc", *rest, F.concat(*found).alias("found")).where(F.size("found") > 0)
     return rows.select("doc", *rest, F.explode("found").alias("f")).select("doc", *rest, "f.*")
 
 
+def _places(keys: Column, width: int, wanted: list[int]) -> Column:
+    at = F.transform(keys, lambda k, i: F.struct(F.lit(width).alias("width"), k.alias("key"), i.alias("pos")))
+    return F.filter(at, lambda x: x["key"].isin(wanted))
+
+
 def whole_document_key(id_col: str, text_col: str) -> Column:
     """Identifies a row by id and text, so that rows that share an id are told apart."""
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
