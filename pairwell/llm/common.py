@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row, also where the optimizer moves the whole into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A staged table, with a broadcast hint if it is at most so many (short) rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= rows else df

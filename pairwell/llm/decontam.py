@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import ascii_lower, sized as small, staged, table
+from pairwell.llm.common import ascii_lower, let, sized as small, staged, table
 
 #: What separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,9 +28,13 @@ def words_of(text: Column) -> Column:
 
 def shingles(words: Column, width: int) -> Column:
     """Hashes of all runs of width words, by position; empty for shorter texts."""
-    n = F.size(words)
-    at = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+
+    def hashed(w: Column) -> Column:
+        n = F.size(w)
+        at = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+
+    return let(words, hashed)
 
 
 def item_windows(bench: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -100,7 +104,7 @@ def occurrences(keyed: DataFrame, wanted: DataFrame, widths: list[int], words: b
     for w, some in by_width.items():
         found.append(_places(shingles(F.col("words"), w), w, some))
     rest = ["words"] if words else []
-    rows = keyed.select("doc", *rest, F.concat(*found).alias("found")).where(F.size("found") > 0)
+    rows = keyed.select("doc", *rest, F.concat(*found).alias("found"))
     return rows.select("doc", *rest, F.explode("found").alias("f")).select("doc", *rest, "f.*")
 
 
