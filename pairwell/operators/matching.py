@@ -95,6 +95,7 @@ def deferred_acceptance(edges: DataFrame, policy: RatioPolicy, order: list[Colum
 
 def serial_pass(edges: DataFrame, policy: RatioPolicy, order: list[Column]) -> DataFrame:
     """The same by one task per stratum, for fallback ratios."""
+    columns = edges.columns
     # ranks are made by Spark, so that the pass compares numbers only
     ranked = edges.withColumn("__rank", F.row_number().over(Window.partitionBy("grp", "a_id").orderBy(*order)))
 
@@ -102,12 +103,12 @@ def serial_pass(edges: DataFrame, policy: RatioPolicy, order: list[Column]) -> D
         taken: set = set()
         keep = []
         for _, pool in pdf.sort_values(["a_ord", "a_id", "__rank"]).groupby(["a_ord", "a_id"], sort=False):
-            free = [i for i, r in zip(pool.index, pool["resource"], strict=True) if r is None or r not in taken]
+            free = [i for i, r in zip(pool.index, pool["resource"], strict=True) if pd.isna(r) or r not in taken]
             n = policy.target(len(free))
             if n:
                 keep += free[:n]
-                taken |= {r for r in pool.loc[free[:n], "resource"] if r is not None}
-        return pdf.loc[keep, list(edges.columns)]
+                taken |= {r for r in pool.loc[free[:n], "resource"] if not pd.isna(r)}
+        return pdf.loc[keep, columns]
 
     return ranked.groupBy("grp").applyInPandas(run, edges.schema)
 
