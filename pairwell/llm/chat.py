@@ -218,7 +218,10 @@ def fold_expression(node: tuple) -> tuple:
         return node
     args = [fold_expression(x) if isinstance(x, tuple) else x for x in node[1:]]
     if all(x[0] == "const" for x in args if isinstance(x, tuple)):
-        return ("const", compile_expression((kind, *args))({}))
+        try:
+            return ("const", compile_expression((kind, *args))({}))
+        except TypeError as error:
+            raise TemplateError(f"constants do not fit: {error}") from error
     if kind in ("and", "or") and args[0][0] == "const":
         return args[1] if bool(args[0][1]) == (kind == "and") else args[0]
     return (kind, *args)
