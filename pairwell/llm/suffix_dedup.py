@@ -46,8 +46,8 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    """Rank of each key among the distinct ones."""
-    order = np.argsort(keys, kind="stable")
+    """Rank of each key among the distinct ones; the order of equal keys does not matter."""
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.concatenate([[False], ordered[1:] != ordered[:-1]])
     out = np.empty(len(keys), np.int64)
