@@ -267,11 +267,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """One row of docs for each component: that of the smallest id (by text hash among rows with that id)."""
+    """One row of docs for each component: that of the smallest id (by text hash among rows with that id).
+
+    Components are named by their least text hash, as ids may be null or repeat; null ids come last.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    members = near_duplicates(slim, "id", "text", shingle)
+    members = near_duplicates(slim, "h", "text", shingle)
     best = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "h")
-    keep = members.groupBy(F.coalesce("component_id", F.lit(2**63 - 1)).alias("component")).agg(F.min(best).alias("best"))
+    keep = members.groupBy("component_id").agg(F.min(best).alias("best"))
     keep = staged(keep.select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h")), "kept")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     out = docs.join(keep, (key[0] == F.col("__id")) & (key[1] == F.col("__h")))
