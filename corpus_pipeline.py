@@ -10,7 +10,7 @@ from pairwell.llm.decontam import drop_leaks
 from pairwell.llm.host_rules import keep_good
 from pairwell.llm.line_dedup import drop_shared_lines
 from pairwell.llm.mixing import mix_sources
-from pairwell.llm.simhash import drop_near_duplicates
+from pairwell.llm.near_copies import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (0.8 or more of five-word shingles) stays: that with the smallest id."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
