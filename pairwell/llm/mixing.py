@@ -57,6 +57,7 @@ def mix_sources(
     seed: int = 7,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
 ) -> DataFrame:
     """docs with each row repeated, in a global random order, plus copy (long, from 1) and order_key (double).
 
@@ -64,8 +65,8 @@ def mix_sources(
     number of documents to the power temperature. size is the expected output over the input, in rows. Rows
     are dealt to partitions by order_key and sorted by it within each.
 
-    A null source is a source of its own; a null id hashes as the empty text; rows with the same id draw the
-    same count. Text is not looked at. Columns named copy or order_key are replaced. Empty in, empty out.
+    A null source is a source of its own; a null id hashes as the row's source and text; rows with the same id
+    draw the same count. Text is looked at only where the id is null. Columns named copy or order_key are replaced. Empty in, empty out.
     """
 
     def tables(batches: Iterator) -> Iterator:
@@ -76,7 +77,8 @@ def mix_sources(
     kind = dict(docs.dtypes)[source_col]
     cdf = source_rates(docs, weights, temperature, size, source_col).mapInPandas(tables, f"src {kind}, low long, cdf array<double>")
     cdf = staged(cdf.select(F.col("src").alias("__src"), F.col("low").alias("__low"), F.col("cdf").alias("__cdf")), "cdf")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    unnamed = F.concat_ws(":", F.lit("text"), *[F.md5(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (source_col, text_col)])
+    ident = F.coalesce(F.col(id_col).cast("string"), unnamed)
     unit = hash_unit(F.lit(f"draw{seed}"), ident)
     joined = docs.join(cdf, F.col(source_col).eqNullSafe(F.col("__src"))).withColumn("__u", unit)
     times = F.col("__low") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
