@@ -14,6 +14,10 @@ from pairwell.plans.spec import DistanceCaliper, SpecError
 from pairwell.sources.cohort import finite
 
 
+#: From a column's name to that column of a record.
+Side = Callable[[str], Column]
+
+
 class MahalanobisError(SpecError):
     """The dimension is zero, or the matrix does not have dimension squared entries."""
 
@@ -87,7 +91,7 @@ class DistanceConfig:
     """A distance with an optional caliper and the reason it gives; an explicit one switches the birth window off.
 
     values is a table with the value of each id: (id, score) or (id, vector). If an id occurs twice, its
-    greatest value counts.
+    greatest value counts. accessor gives the value as a column of the record's own instead.
     """
 
     kind: str
@@ -96,7 +100,7 @@ class DistanceConfig:
     values: DataFrame | None = None
     inverse_covariance: tuple[float, ...] = ()
     dimension: int = 0
-    accessor: Callable[[Column], Column] | None = None
+    accessor: Callable[[Side], Column] | None = None
 
     @classmethod
     def date(cls, caliper: DistanceCaliper | None = None) -> DistanceConfig:
@@ -104,7 +108,16 @@ class DistanceConfig:
 
     @classmethod
     def propensity(cls, scores: DataFrame, caliper: DistanceCaliper | None = None) -> DistanceConfig:
-        return cls("propensity", caliper, "propensity_caliper", scores.toDF("id", "score"))
+        return cls("propensity", caliper, "propensity_score_caliper", scores.toDF("id", "score"))
+
+    @classmethod
+    def propensity_of(cls, accessor: Callable[[Side], Column], caliper: DistanceCaliper | None = None) -> DistanceConfig:
+        return cls("propensity", caliper, "propensity_score_caliper", accessor=accessor)
+
+    @classmethod
+    def mahalanobis_of(cls, accessor: Callable[[Side], Column], inverse_covariance: Sequence[float], dimension: int, caliper: DistanceCaliper | None = None) -> DistanceConfig:
+        check_matrix(inverse_covariance, dimension)
+        return cls("mahalanobis", caliper, "mahalanobis_caliper", None, tuple(map(float, inverse_covariance)), dimension, accessor)
 
     @classmethod
     def mahalanobis(cls, vectors: DataFrame, inverse_covariance: Sequence[float], dimension: int, caliper: DistanceCaliper | None = None) -> DistanceConfig:
@@ -115,17 +128,33 @@ class DistanceConfig:
         return replace(self, reason=reason)
 
     def attach(self, rows: DataFrame) -> DataFrame:
-        """rows(__id) with __x: what the distance is taken of."""
+        """rows(__id) with __x, what the distance is taken of, and __bad: a score is there but not finite."""
         if self.kind == "date":
-            return rows.withColumn("__x", F.col("__birth"))
-        name = "score" if self.kind == "propensity" else "vector"
+            return rows.withColumns({"__x": F.col("__birth"), "__bad": F.lit(False)})
         value = F.col("__value")
         if self.kind == "mahalanobis":
             u = self.root()
             value = whiten(value, u) if u is not None else value
-        values = self.values.groupBy(F.col("id").cast("string").alias("__key")).agg(F.max(name).alias("__value"))
-        joined = rows.join(values, F.col("__id") == F.col("__key"), "left").drop("__key")
-        return joined.withColumn("__x", finite(value) if self.kind == "propensity" else value).drop("__value")
+        if self.accessor is not None:
+            joined = rows.withColumn("__value", self.accessor(F.col))
+        else:
+            name = "score" if self.kind == "propensity" else "vector"
+            values = self.values.groupBy(F.col("id").cast("string").alias("__key")).agg(F.max(name).alias("__value"))
+            joined = rows.join(values, F.col("__id") == F.col("__key"), "left").drop("__key")
+        if self.kind == "propensity":
+            bad = F.col("__value").isNotNull() & finite(F.col("__value")).isNull() & F.lit(self.accessor is None)
+            return joined.withColumn("__bad", bad).withColumn("__x", finite(value)).drop("__value")
+        return joined.withColumns({"__x": value, "__bad": F.lit(False)}).drop("__value")
+
+    def band(self, row: Side) -> Column | None:
+        """A number by which any two records within the caliper differ by at most the caliper; None if there is none."""
+        if self.caliper is None:
+            return None
+        if self.kind == "date":
+            return F.unix_date(row("__x"))
+        if self.kind == "propensity":
+            return row("__x")
+        return F.get(row("__x"), F.lit(0)) if self.root() is not None else None
 
     def root(self) -> np.ndarray | None:
         if not np.isfinite(self.inverse_covariance).all():

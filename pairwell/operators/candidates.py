@@ -11,28 +11,42 @@ from pairwell.functions.distance import DistanceConfig
 from pairwell.operators.constraints import Constraint, Side, exact_strata, first_blocking, no_self_match, side
 from pairwell.plans.spec import MatchingCriteria
 
+#: Bins are numbered within this; values beyond share the outermost ones, which the join condition then parts.
+OUTERMOST = 2.0**62
+
 
 def group_key(count: int) -> Column:
     """One string for the required strata, in which null is a value."""
     return F.to_json(F.array(*[F.col(f"__s{k}") for k in range(count)])) if count else F.lit("[]")
 
 
-def band_join(anchors: DataFrame, candidates: DataFrame, keys: int, a_value: Column, c_value: Column, width: float, binned: bool) -> DataFrame:
+def dealt(anchors: DataFrame) -> DataFrame:
+    """anchors dealt out evenly by anchor, so that neither a file that cannot be split nor a crowded bin is one task's.
+
+    What is ranked by anchor behind a join that does not move the anchors then needs no shuffle of edges.
+    """
+    return anchors.repartition(int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__grp", "__ord", "__id")
+
+
+def band_join(anchors: DataFrame, candidates: DataFrame, keys: int, value: Callable[[Side], Column], width: float) -> DataFrame:
     """Pairs of equal strata (null equals null) whose values differ by at most width; aliases a and c.
 
-    binned: the candidate side is repeated into the three bins that its partners can be in, so that the bin is
-    a key of an equi-join. Each pair meets in one bin. Without it, width is a condition on the strata's pairs.
+    The candidate side is repeated into the three bins that its partners can be in, so that the bin is, with the
+    strata, a key of an equi-join. Each pair meets in one bin. A task so tests some three pairs for each it gives,
+    whatever the size of a stratum.
     """
-    same = exact_strata(keys).allows(side("a"), side("c"))
-    if not binned:
-        return anchors.alias("a").join(candidates.alias("c"), same & (F.abs(a_value - c_value) <= width))
     size = float(width) if width > 0 else 1.0
-    size = size + 1 if size == int(size) else size * (1 + 1e-9)  # days are whole; other widths get room for rounding
-    bin_of = lambda x: F.floor(x / F.lit(size)).cast("long")
-    left = anchors.alias("a").withColumn("__bin", bin_of(a_value)).alias("a")
-    spread = F.explode(F.array(*[bin_of(c_value) + k for k in (-1, 0, 1)]))
+    size = size + 1 if size == int(size) else max(size * (1 + 1e-9), 1e-9)  # whole numbers part exactly; others get room for rounding
+
+    def bin_of(x: Column) -> Column:
+        x = x / F.lit(size)
+        return F.floor(F.when(x > OUTERMOST, OUTERMOST).when(x < -OUTERMOST, -OUTERMOST).otherwise(x)).cast("long")
+
+    left = dealt(anchors).alias("a").withColumn("__bin", bin_of(value(side("a")))).alias("a")
+    spread = F.explode(F.array(*[bin_of(value(side("c"))) + k for k in (-1, 0, 1)]))
     right = candidates.alias("c").withColumn("__bin", spread).alias("c")
-    meet = (F.col("a.__bin") == F.col("c.__bin")) & same & (F.abs(a_value - c_value) <= width)
+    a, c = side("a"), side("c")
+    meet = (a("__bin") == c("__bin")) & exact_strata(keys).allows(a, c) & (F.abs(value(a) - value(c)) <= width)
     return left.join(right, meet)
 
 
@@ -43,39 +57,34 @@ def candidate_edges(
     config: DistanceConfig | None = None,
     constraints: Sequence[Constraint] = (),
     risk: Callable[[Side, Side], Column] | None = None,
-    pool_only: bool = False,
 ) -> DataFrame:
-    """Edges of cohorts: (grp, a_id, a_ord, c_id, c_ord, c_unique, days, distance, filtered, state, reason).
+    """Edges of cohorts: (grp, a_day, a_id, a_ord, c_id, c_ord, c_unique, days, distance, filtered, is_self, reason).
 
     Without a config the birth window and the strata make the pool, silently. With one all candidates are the
-    pool, and pairs of unequal strata are left out here (they are counted, not built: see exclusion_counts).
+    pool; pairs of unequal strata, and those beyond a caliper that can be a join condition, are left out here:
+    pairwell.operators.diagnostics counts them without building them. Without a caliper every pair of a stratum
+    is eligible by definition.
 
-    filtered: what is excluded before all else (risk set, support). reason: the first static constraint that
-    fails, or null. early: that it is one which is checked before a reused unique key. pool_only: a caliper of
-    dates or scores becomes a join condition, so that pairs outside it are not built; exclusions by it are then not counted.
+    filtered: what is excluded before all else (risk set, support). is_self: both sides are one record. reason:
+    the first of the caliper and the further constraints that fails, or null.
     """
     keys = len(criteria.required_strata)
     channel = config or DistanceConfig.date()
     a, c = side("a"), side("c")
     left, right = channel.attach(anchors), channel.attach(candidates)
-    birth = lambda s: F.unix_date(s("__birth"))
     if config is None:
-        pairs = band_join(left, right, keys, birth(a), birth(c), criteria.birth_window_days, binned=keys == 0)
-    elif pool_only and config.caliper is not None and config.kind != "mahalanobis":
-        x = birth if config.kind == "date" else (lambda s: s("__x"))
-        pairs = band_join(left, right, keys, x(a), x(c), float(config.caliper.value), binned=keys == 0)
-    elif keys:
-        pairs = left.alias("a").join(right.alias("c"), exact_strata(keys).allows(a, c))
+        pairs = band_join(left, right, keys, lambda s: F.unix_date(s("__birth")), criteria.birth_window_days)
+    elif channel.band(a) is not None:
+        room = 1 + 1e-9 if config.kind == "mahalanobis" else 1  # a coordinate is computed apart from the distance
+        pairs = band_join(left, right, keys, channel.band, float(config.caliper.value) * room)
     else:
-        # every pair is in the pool by definition: no key, no window and nothing that may be left out
-        pairs = left.alias("a").join(right.alias("c"), F.lit(True))
+        pairs = dealt(left).alias("a").join(right.alias("c"), exact_strata(keys).allows(a, c))
     distance = channel.between(a("__x"), c("__x"))
     within = Constraint(channel.reason, lambda _a, _c: channel.allows(distance))
-    self_match = F.when(a("__id") == c("__id"), F.lit(no_self_match().reason))
-    late = first_blocking([within, *constraints], a, c)
     keep = risk(a, c) if risk else F.lit(True)
     return pairs.select(
         a("__grp").alias("grp"),
+        F.unix_date(a("__birth")).alias("a_day"),
         a("__id").alias("a_id"),
         a("__ord").alias("a_ord"),
         c("__id").alias("c_id"),
@@ -84,11 +93,11 @@ def candidate_edges(
         F.abs(F.datediff(c("__birth"), a("__birth"))).alias("days"),
         distance.alias("distance"),
         (~F.coalesce(keep, F.lit(False))).alias("filtered"),
-        self_match.isNotNull().alias("early"),
-        F.coalesce(self_match, late).alias("reason"),
+        (~no_self_match().allows(a, c)).alias("is_self"),
+        first_blocking([within, *constraints], a, c).alias("reason"),
     )
 
 
 def eligible(edges: DataFrame) -> DataFrame:
     """Edges that nothing static excludes."""
-    return edges.where(~F.col("filtered") & F.col("reason").isNull())
+    return edges.where(~F.col("filtered") & ~F.col("is_self") & F.col("reason").isNull())

@@ -71,10 +71,11 @@ def date_window(column: str | Callable[[Side], Column], days: int) -> Constraint
     return Constraint("date_window_mismatch", lambda a, c: F.coalesce(F.abs(F.datediff(get(a), get(c))) <= days, F.lit(False)))
 
 
-def must_be_alive(event: str | Callable[[Side], Column] = "__event") -> Constraint:
+def must_be_alive(event: str | Callable[[Side], Column] = "__event", death: str | Callable[[Side], Column] = "__death") -> Constraint:
     """The candidate has not died by the anchor's event date; anchors without one pass."""
     get = event if callable(event) else (lambda s: s(event))
-    return Constraint("control_not_alive_at_index_date", lambda a, c: get(a).isNull() | c("__death").isNull() | (c("__death") > get(a)))
+    died = death if callable(death) else (lambda s: s(death))
+    return Constraint("control_not_alive_at_index_date", lambda a, c: get(a).isNull() | died(c).isNull() | (died(c) > get(a)))
 
 
 def must_be_resident(check: Callable[[Side, Column], Column], event: str | Callable[[Side], Column] = "__event") -> Constraint:

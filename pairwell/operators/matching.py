@@ -1,24 +1,20 @@
-"""Matching of anchors to candidates: greedy in anchor order, with or without replacement.
-
-Without replacement the serial greedy pass is computed as deferred acceptance: anchors propose to the best
-edges they have left, each resource keeps the earliest anchor, and edges of later anchors to it go. For a plain
-ratio both give the same pairs, and no group is ever in one task. Fallback ratios ("three or none") are not
-substitutable, so these take the serial pass, one task per stratum.
-"""
+"""Matching of anchors to candidates: greedy in anchor order, with or without replacement."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.distance import DistanceConfig
+from pairwell.operators import diagnostics, weights
+from pairwell.operators.acceptance import TAKEN, chosen, deferred_acceptance, serial_pass
 from pairwell.operators.candidates import candidate_edges, eligible, group_key
 from pairwell.operators.constraints import Constraint
-from pairwell.plans.spec import Estimand, MatchingCriteria, MatchRatio, RatioPolicy
+from pairwell.plans.spec import Estimand, MatchingCriteria, MatchRatio, RatioPolicy, Reason
 from pairwell.sources.cohort import CohortSchema, cohort
 from pairwell.sources.staging import written
 
@@ -34,83 +30,97 @@ def in_order() -> list[Column]:
 
 
 def random_order(seed: int) -> Strategy:
-    """The same draw for the same seed on every run, whatever the partitioning."""
-    return lambda: [F.xxhash64(F.lit(seed), "a_id", "c_id"), F.col("c_id")]
+    """By the MD5 of seed, anchor and candidate: the same draw for the same seed on every run and engine."""
+    return lambda: [F.md5(F.concat_ws(":", F.lit(str(seed)), "a_id", "c_id")), F.col("c_id")]
+
+
+@dataclass(frozen=True)
+class Support:
+    """Common support of scores, as applied."""
+
+    policy: str
+    anchor_bounds: tuple[float, float]
+    candidate_bounds: tuple[float, float]
+    overlap: tuple[float, float]
+    trimmed_anchors: int
+    trimmed_candidates: int
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """pairs(grp, anchor_id, candidate_id, days, distance) and what the summary is made of."""
+    """What a run matched, and what its diagnostics are made of.
+
+    anchors and candidates are cohorts (anchors without those that support trimmed); edges is the pool with what
+    excludes each pair; selected(grp, a_ord, a_id, c_id, c_unique, days, distance) is computed when first asked
+    for and then kept as a table.
+    """
 
-    pairs: DataFrame
+    select: Callable[[], DataFrame]
     anchors: DataFrame
+    candidates: DataFrame
     edges: DataFrame
     criteria: MatchingCriteria
     policy: RatioPolicy
-    invalid: str | None = None
+    config: DistanceConfig | None = None
+    transition: bool = False
+    support: Support | None = None
+    invalid: Reason | None = None
+    risk: Callable | None = None
+    notes: dict = field(default_factory=dict)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return written(self.select(), "selected")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(grp, anchor_id, candidate_id, days, distance)."""
+        return self.selected.select("grp", F.col("a_id").alias("anchor_id"), F.col("c_id").alias("candidate_id"), "days", "distance")
+
+    @cached_property
+    def diagnostics(self) -> diagnostics.MatchDiagnostics:
+        return diagnostics.diagnose(self)
 
     def summary(self) -> DataFrame:
-        """One row: anchors, matched and unmatched, pairs, candidates used, anchors below the ratio, realized estimand."""
-        per = self.pairs.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n"))
-        short = F.col("n") < self.policy.steps[0] if self.policy.steps and not self.policy.strict else F.lit(False)
-        hits = per.agg(F.count(F.lit(1)).alias("matched"), F.count_if(short).alias("below_ratio"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
-        used = self.pairs.agg(F.count_distinct("candidate_id").alias("candidates_used"))
-        all_ = self.anchors.agg(F.count(F.lit(1)).alias("anchors"))
-        out = all_.crossJoin(hits).crossJoin(used)  # three tables of one row
-        drift = (F.col("matched") < F.col("anchors")) | (F.col("below_ratio") > 0)
-        asked = self.criteria.estimand.value
-        return out.withColumn("unmatched", F.col("anchors") - F.col("matched")).withColumn("estimand", F.when(drift, F.lit(Estimand.ATM.value)).otherwise(asked))
+        """One row of what the run came to."""
+        return self.diagnostics.table(self.edges.sparkSession)
 
     def exclusions(self) -> DataFrame:
-        """(reason, n) of the pairs that a static constraint excluded."""
-        return self.edges.where(F.col("reason").isNotNull() & ~F.col("filtered")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+        """(category, reason, n, place): pairs of the pool by what excluded them first, in the order of reports."""
+        return diagnostics.exclusions(self)
 
+    def with_estimand(self, estimand: Estimand) -> Outcome:
+        return replace(self, criteria=self.criteria.with_(estimand=estimand))
 
-def chosen(edges: DataFrame, policy: RatioPolicy, order: list[Column]) -> DataFrame:
-    """The best edges of every anchor by itself, as many as the policy takes."""
-    mine = Window.partitionBy("grp", "a_id")
-    ranked = edges.withColumn("__rank", F.row_number().over(mine.orderBy(*order)))
-    if not policy.strict:
-        return ranked.where(F.col("__rank") <= policy.steps[0]).drop("__rank")
-    n = F.count(F.lit(1)).over(mine)
-    target = F.coalesce(*[F.when(n >= s, F.lit(s)) for s in policy.steps], F.lit(0))
-    return ranked.withColumn("__take", target).where("__rank <= __take").drop("__rank", "__take")
+    def pair_weights(self, estimand: Estimand | None = None) -> DataFrame:
+        """Weights of pairs for an estimand; that which the run realized if none is given."""
+        return weights.pair_weights(self.pairs, estimand or self.diagnostics.realized_estimand)
 
+    def match_weights(self, estimand: Estimand | None = None) -> DataFrame:
+        return weights.match_weights(self.pairs, estimand or self.diagnostics.realized_estimand)
 
-def deferred_acceptance(edges: DataFrame, policy: RatioPolicy, order: list[Column]) -> DataFrame:
-    """edges(grp, a_id, a_ord, c_id, c_ord, resource, days, ...) cut to what the serial pass would take.
+    def unit_weight_table(self, estimand: Estimand | None = None, sampling: DataFrame | None = None) -> DataFrame:
+        """Match, sampling and analysis weights of units, by unit and role."""
+        return weights.unit_table(self.match_weights(estimand), sampling).orderBy("unit_id", "role")
 
-    A null resource is never used up. Rounds are written to the shared folder; they end when none loses.
-    """
-    live = written(edges, "edges")
-    while True:
-        best = chosen(live, policy, order)
-        held = best.where("resource is not null").groupBy("grp", "resource").agg(F.min(F.struct("a_ord", "a_id")).alias("holder"))
-        both = live.join(held, ["grp", "resource"], "left")
-        kept = written(both.where(F.col("holder").isNull() | (F.struct("a_ord", "a_id") <= F.col("holder"))).select(*live.columns), "edges")
-        if kept.count() == live.count():
-            return chosen(kept, policy, order)
-        live = kept
-
-
-def serial_pass(edges: DataFrame, policy: RatioPolicy, order: list[Column]) -> DataFrame:
-    """The same by one task per stratum, for fallback ratios."""
-    columns = edges.columns
-    # ranks are made by Spark, so that the pass compares numbers only
-    ranked = edges.withColumn("__rank", F.row_number().over(Window.partitionBy("grp", "a_id").orderBy(*order)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        keep = []
-        for _, pool in pdf.sort_values(["a_ord", "a_id", "__rank"]).groupby(["a_ord", "a_id"], sort=False):
-            free = [i for i, r in zip(pool.index, pool["resource"], strict=True) if pd.isna(r) or r not in taken]
-            n = policy.target(len(free))
-            if n:
-                keep += free[:n]
-                taken |= {r for r in pool.loc[free[:n], "resource"] if not pd.isna(r)}
-        return pdf.loc[keep, columns]
-
-    return ranked.groupBy("grp").applyInPandas(run, edges.schema)
+
+def with_resource(edges: DataFrame, criteria: MatchingCriteria, scope: Column) -> DataFrame:
+    """edges with what a match uses up: the unique value within its scope, else the candidate; null: nothing."""
+    own = F.lit(None).cast("string") if criteria.allow_replacement else F.concat(F.lit("c:"), F.col("c_id"))
+    if not criteria.unique_by_key:
+        return edges.withColumn("resource", own)
+    return edges.withColumn("resource", F.coalesce(F.concat(F.lit("u:"), scope, F.lit(":"), F.col("c_unique")), own))
+
+
+def select_pairs(edges: DataFrame, anchors: DataFrame, criteria: MatchingCriteria, policy: RatioPolicy, order: list[Column], scope: Column, together: bool) -> DataFrame:
+    """The greedy pass over edges, in whichever way the criteria allow."""
+    able = with_resource(eligible(edges), criteria, scope)
+    if criteria.allow_replacement and not criteria.unique_by_key:
+        return chosen(able, policy, order)
+    if policy.strict:
+        who = anchors.select(F.col("__ord").alias("a_ord"), F.col("__id").alias("a_id"))
+        return serial_pass(able, who, policy, order, together)
+    return deferred_acceptance(able, policy, order)
 
 
 def match_standard(
@@ -125,20 +135,15 @@ def match_standard(
 ) -> Outcome:
     """Match each anchor with up to ratio candidates of its strata within the window or the caliper.
 
-    Invalid criteria give an outcome without pairs that names the reason.
+    Invalid criteria give an outcome without pairs that names the reason. A common support policy is reported
+    but trims nobody here. Ids are unique on each side.
     """
     keys = list(criteria.required_strata)
     sides = [cohort(x, schema, keys, criteria.unique_by_key).withColumn("__grp", group_key(len(keys))) for x in (anchors, candidates)]
     invalid = criteria.invalid_reason()
     policy = RatioPolicy.of(max(criteria.ratio, 1), fallback)
-    edges = candidate_edges(*sides, MatchingCriteria(required_strata=tuple(keys)) if invalid else criteria, config, constraints)
-    edges = edges.where("false") if invalid else edges
-    able = eligible(edges)
-    own = F.lit(None).cast("string") if criteria.allow_replacement else F.concat(F.lit("c:"), F.col("c_id"))
-    able = able.withColumn("resource", F.coalesce(F.concat(F.lit("u:"), F.col("c_unique")), own) if criteria.unique_by_key else own)
-    if criteria.allow_replacement and not criteria.unique_by_key:
-        got = chosen(able, policy, strategy())
-    else:
-        got = (serial_pass if policy.strict else deferred_acceptance)(able, policy, strategy())
-    pairs = got.select("grp", F.col("a_id").alias("anchor_id"), F.col("c_id").alias("candidate_id"), "days", "distance")
-    return Outcome(pairs, sides[0], edges, criteria, policy, invalid)
+    edges = candidate_edges(*sides, criteria.with_(birth_window_days=max(criteria.birth_window_days, 0)), config, constraints)
+    if invalid:
+        refused = edges.where("false")
+        return Outcome(lambda: refused.select(*TAKEN), *sides, refused, criteria, policy, config, invalid=Reason("invalid_criteria", invalid))
+    return Outcome(lambda: select_pairs(edges, sides[0], criteria, policy, strategy(), F.col("grp"), False), *sides, edges, criteria, policy, config)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,33 +41,73 @@ def effective_sample_size(weight: Column) -> Column:
     return F.when(squares > 2.220446049250313e-16, F.pow(F.sum(w), F.lit(2.0)) / squares).otherwise(0.0)
 
 
-def cutpoints(scores: DataFrame, subclasses: int) -> list[float]:
-    """The scores at the positions b (n - 1) div k of the sorted table, b from 1 to k - 1."""
-    counted = running_counts(scores.select("score"), [], "score", {"n": F.lit(1)})
+def weight_totals(table: DataFrame) -> DataFrame:
+    """(role, total, ess) of the analysis weights of a unit table; total_weight is their sum over both roles."""
+    return table.groupBy("role").agg(F.sum("analysis_weight").alias("total"), effective_sample_size(F.col("analysis_weight")).alias("ess"))
+
+
+def cutpoints(scores: DataFrame, subclasses: int) -> list[float] | None:
+    """The scores at the positions b (n - 1) div k of the sorted table, b from 1 to k - 1; None without scores."""
     total = scores.count()
     if not total:
+        return None
+    at = [b * (total - 1) // subclasses for b in range(1, subclasses)] if total > 1 else []
+    if not at:
         return []
-    at = [b * (total - 1) // subclasses for b in range(1, subclasses)]
-    row = counted.agg(*[F.min(F.when(F.col("cum_n") > p, F.col("score"))) for p in at]).first() if at else []
-    return list(row)
+    counted = running_counts(scores.select("score"), [], "score", {"n": F.lit(1)})
+    return list(counted.agg(*[F.min(F.when(F.col("cum_n") > p, F.col("score"))) for p in at]).first())
+
+
+@dataclass(frozen=True)
+class Subclasses:
+    """units(unit_id, role, score, subclass, weight, ...) that are kept, what is dropped, and the subclasses.
+
+    dropped(unit_id, role, why, place): units without a finite score first, anchors before candidates, then those
+    of subclasses that lack a role. table(subclass, anchor_count, candidate_count, propensity): all subclasses,
+    empty ones too.
+    """
+
+    units: DataFrame
+    dropped: DataFrame
+    table: DataFrame
+    requested: int
+
+    def realized(self) -> int:
+        return self.table.where("anchor_count > 0 and candidate_count > 0").count()
 
 
-def subclassify(units: DataFrame, estimand: Estimand = Estimand.ATT, subclasses: int = 6) -> DataFrame:
-    """units(unit_id, role, score) plus subclass and weight, without those whose subclass lacks a role.
+def subclassify(units: DataFrame, estimand: Estimand = Estimand.ATT, subclasses: int = 6, reference: str | None = None) -> Subclasses:
+    """Cut units(unit_id, role, score) into subclasses by quantiles of the reference group's scores.
 
-    role is anchor or candidate. Scores that are missing or not finite are dropped.
+    role is anchor or candidate. reference: anchor, candidate or pooled; by default the estimand's. Without any
+    finite score in the reference group all units are dropped. Ids are unique over both roles.
     """
-    ok = units.where(F.abs("score") < float("inf"))
-    side = {Estimand.ATT: "anchor", Estimand.ATC: "candidate"}.get(estimand)
-    cuts = cutpoints(ok.where(F.col("role") == side) if side else ok, subclasses)
-    if not cuts and subclasses > 1:
-        return ok.where("false").withColumns({"subclass": F.lit(0), "weight": F.lit(1.0)})
+    spark, wanted = units.sparkSession, max(subclasses, 1)
+    reference = reference or {Estimand.ATT: "anchor", Estimand.ATC: "candidate"}.get(estimand, "pooled")
+    fine = F.coalesce(F.abs("score") < float("inf"), F.lit(False))
+    ok = units.where(fine)
+    cuts = cutpoints(ok if reference == "pooled" else ok.where(F.col("role") == reference), wanted)
+    order = {(w, r): i for i, (w, r) in enumerate((w, r) for w in ("no_score", "no_overlap") for r in ("anchor", "candidate"))}
+
+    def gone(rows: DataFrame, why: str) -> DataFrame:
+        place = F.when(F.col("role") == "anchor", order[why, "anchor"]).otherwise(order[why, "candidate"])
+        return rows.select("unit_id", "role", F.lit(why).alias("why"), place.alias("place"))
+
+    summary = "subclass long, anchor_count long, candidate_count long, propensity double"
+    if cuts is None:
+        kept = ok.where("false").withColumns({"subclass": F.lit(0), "weight": F.lit(1.0)})
+        return Subclasses(kept, gone(units, "no_score"), spark.createDataFrame([], summary), wanted)
     below = sum((F.when(F.col("score") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     placed = ok.withColumn("subclass", below)
     counts = placed.groupBy(F.col("subclass").alias("__s")).agg(F.count_if(F.col("role") == "anchor").alias("__a"), F.count_if(F.col("role") == "candidate").alias("__c"))
-    counts = F.broadcast(counts.where("__a > 0 and __c > 0"))  # at most `subclasses` rows
-    out = placed.join(counts, F.col("subclass") == F.col("__s"))
+    out = placed.join(F.broadcast(counts), F.col("subclass") == F.col("__s"))  # at most `subclasses` rows
     a, c = F.col("__a").cast("double"), F.col("__c").cast("double")
-    of_anchor = {Estimand.ATT: F.lit(1.0), Estimand.ATC: c / a}.get(estimand, (a + c) / a)
-    of_candidate = {Estimand.ATT: a / c, Estimand.ATC: F.lit(1.0)}.get(estimand, (a + c) / c)
-    return out.withColumn("weight", F.when(F.col("role") == "anchor", of_anchor).otherwise(of_candidate)).drop("__s", "__a", "__c")
+    of_anchor = {Estimand.ATT: F.lit(1.0), Estimand.ATC: F.try_divide(c, a)}.get(estimand, F.try_divide(a + c, a))
+    of_candidate = {Estimand.ATT: F.try_divide(a, c), Estimand.ATC: F.lit(1.0)}.get(estimand, F.try_divide(a + c, c))
+    out = out.withColumn("weight", F.when(F.col("role") == "anchor", of_anchor).otherwise(of_candidate))
+    both = (F.col("__a") > 0) & (F.col("__c") > 0)
+    dropped = gone(units.where(~fine), "no_score").unionByName(gone(out.where(~both), "no_overlap"))
+    all_ = spark.range(len(cuts) + 1).withColumnRenamed("id", "subclass").join(F.broadcast(counts), F.col("subclass") == F.col("__s"), "left")
+    n = lambda x: F.coalesce(F.col(x), F.lit(0).cast("long"))
+    table = all_.select("subclass", n("__a").alias("anchor_count"), n("__c").alias("candidate_count"), F.try_divide(n("__a"), n("__a") + n("__c")).alias("propensity"))
+    return Subclasses(out.where(both).drop("__s", "__a", "__c"), dropped, table, wanted)

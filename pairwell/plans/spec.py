@@ -133,20 +133,27 @@ class RatioPolicy:
 
 @dataclass(frozen=True)
 class TransitionOptions:
+    """Who may become a case, and how many comparators a case takes."""
+
     age_limit: AgeLimitYears = field(default_factory=lambda: AgeLimitYears(6))
     ratio_fallback: tuple[MatchRatio, ...] = ()
 
+    def __post_init__(self) -> None:
+        if not isinstance(self.age_limit, AgeLimitYears):
+            raise TypeError("the age limit must be AgeLimitYears")
+
 
 @dataclass(frozen=True)
 class BalanceThresholds:
-    """Limits for numeric balance; None switches a check off."""
+    """Limits for numeric balance after matching; None switches a check, or one side of the variance ratio's, off."""
 
-    smd: float = 0.1
-    var_ratio_min: float = 0.8
-    var_ratio_max: float = 1.25
+    smd: float | None = 0.1
+    var_ratio_min: float | None = 0.8
+    var_ratio_max: float | None = 1.25
     ecdf_max: float | None = 0.1
     eqq_max: float | None = None
 
+    # The limits of the three profiles, the defaults being the moderate one.
     @classmethod
     def strict(cls) -> BalanceThresholds:
         return cls(0.05, 0.9, 1.11, 0.05)
@@ -188,6 +195,24 @@ CATEGORIES = ("additional_filter", "constraint", "distance_caliper", "invalid_cr
 DRIFT_REASONS = ("common_support_trimming", "unmatched_anchors", "ratio_shortfall", "distance_caliper_exclusion", "common_support_caliper_interaction")
 
 
-def reason_order(reason: str) -> int:
-    """Place of a constraint reason among its category: typed ones first, in their order."""
-    return TYPED_CONSTRAINT_REASONS.index(reason) if reason in TYPED_CONSTRAINT_REASONS else len(TYPED_CONSTRAINT_REASONS)
+@dataclass(frozen=True)
+class Reason:
+    """Why pairs were excluded, or a whole run was refused."""
+
+    category: str
+    name: str = ""
+
+    @property
+    def typed(self) -> bool:
+        known = {"constraint": TYPED_CONSTRAINT_REASONS, "distance_caliper": ("distance_caliper",)}
+        return self.category not in known or self.name in known[self.category]
+
+    def __str__(self) -> str:
+        if self.category in ("invalid_criteria", "common_support_failure"):
+            return f"{self.category}:{self.name}"
+        return self.name or self.category
+
+    def order(self) -> tuple:
+        """Categories in their order; within one, typed reasons in theirs, then custom ones by name."""
+        place = TYPED_CONSTRAINT_REASONS.index(self.name) if self.category == "constraint" and self.typed else len(TYPED_CONSTRAINT_REASONS)
+        return CATEGORIES.index(self.category), place, self.name
