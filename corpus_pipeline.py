@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is in benchmark passages go."""
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold any benchmark window go, however small a part of them it is."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), max_share=0.0)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
