@@ -7,6 +7,10 @@ Golay code [23, 12, 7] is perfect: a word is within three bits of exactly one co
 codewords); any two words that differ in at most two bits share a key. So the pairs of keys of two segments
 (85 on average for all three choices of two) bring together every pair of fingerprints that has to be found.
 Each meeting is verified by counting the differing bits.
+
+There are three times 2^24 keys, so with very many fingerprints each key holds many. Keys that do are made
+longer: of the two segments one is equal, or both differ in one bit and the third in at most two. So a row of a
+crowded key goes on under that key with either segment's own bits, and with each key of the third segment.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fixed value: the seed of XXH64.
 SEED = 42
 MAX_BITS = 4
-#: Fingerprints of one key that are compared in one block.
-BLOCK = 32_768
-CELLS = 1 << 14
+#: Fingerprints of one key that are compared in one block; keys with more are made longer.
+BLOCK = 4096
+#: Counters of hashed keys, by which most keys are seen not to be crowded.
+CELLS = 1 << 16
 
 
 def syndrome(word: int) -> int:
@@ -82,21 +87,51 @@ def pair_keys(prints: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def longer_keys(keys: np.ndarray, prints: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(long key, row) of rows (key, fingerprint): the key with the bits of either of its segments, or with a key of the third.
+
+    A long key has the key in its low 26 bits, then which of the three it is, and 23 bits of that.
+    """
+    bits = prints.view(np.uint64)
+    words = [((bits >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64) for at, size in SEGMENTS]
+    out, rows = [], []
+    for family, (i, j) in enumerate(PAIRS):
+        mine = np.flatnonzero(keys >> 24 == family)
+        third = segment_keys(words[3 - i - j][mine], tables)
+        parts = [words[i][mine][:, None], words[j][mine][:, None], third]
+        for kind, part in enumerate(parts):
+            ok = part >= 0
+            out.append((keys[mine][:, None] | kind << 26 | np.maximum(part, 0) << 28)[ok])
+            rows.append(np.broadcast_to(mine[:, None], part.shape)[ok])
+    return np.concatenate(out), np.concatenate(rows)
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """SimHash of the word shingles, as a signed 64-bit integer; zero without words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes (uint64) of the word shingles, repeats included; a shorter text is one shingle, a blank one has none."""
     words = text.encode().lower().split() if text else []
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = ends - np.fromiter(map(len, words), np.int64, n) - 1
-        digest = xxhash.xxh64_intdigest
-        pairs = zip(starts[: n - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pairs], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    digest = xxhash.xxh64_intdigest
+    pairs = zip(starts[: n - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64, n - shingle + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -205,9 +240,9 @@ def _group_numbers(part: np.ndarray) -> np.ndarray:
 def link_forest(prints: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is connected among the distinct fingerprints of prints(fp).
 
-    Keys with more than BLOCK fingerprints are dealt into blocks, and each pair of blocks is compared in a
-    task of its own. Whether there can be such keys is seen from counts of hashed keys, which are at least
-    as large.
+    Keys with more than BLOCK fingerprints are made longer. Long keys that still have more (fingerprints that are
+    nearly all alike) are dealt into blocks, and each pair of blocks is compared in a task of its own. Whether
+    there can be crowded keys is seen from counts of hashed keys, which are at least as large.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +251,14 @@ def link_forest(prints: DataFrame) -> DataFrame:
             fp = b.column("fp").to_numpy(zero_copy_only=False)
             for at in range(0, len(fp), 10_000):
                 key, row = pair_keys(fp[at : at + 10_000], tables)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[at : at + 10_000][row])], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at : at + 10_000][row])], ["key", "fp"])
+
+    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = golay_tables()
+        for b in batches:
+            fp = b.column("fp").to_numpy(zero_copy_only=False)
+            key, row = longer_keys(b.column("key").to_numpy(zero_copy_only=False), fp, tables)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
@@ -229,20 +271,30 @@ def link_forest(prints: DataFrame) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
+    def parted(rows: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of keys that are not crowded, and those that are, with their number of blocks."""
+        return rows.join(crowded.select("key"), "key", "left_anti"), rows.join(crowded, "key")
+
+    def over(rows: DataFrame) -> DataFrame:
+        n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+        return staged(n.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
+
     prints = staged(prints, "prints")
-    rows = prints.mapInArrow(keys, "key int, fp long")
-    cells = prints.mapInArrow(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
-    full = [r[0] for r in cells.select("cell").collect()]  # at most CELLS numbers
-    if not full:
+    rows = prints.mapInArrow(keys, "key long, fp long")
+    cells = staged(prints.mapInArrow(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK), "cells")
+    if cells.isEmpty():
         return _links(rows.withColumn("cell", F.lit(0)))
-    cell_of = F.shiftright(F.col("key").cast("long") * 40503, 7) % CELLS
-    hot = rows.where(cell_of.isin(full)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    hot = staged(hot.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
-    cold = rows.join(hot, "key", "left_anti").withColumn("cell", F.lit(0))
+    cell_of = F.shiftright(F.col("key") * 40503, 7) % CELLS
+    suspects = rows.withColumn("cell", cell_of).join(F.broadcast(cells.select("cell")), "cell", "left_semi")  # at most CELLS numbers
+    cold, hot = parted(rows, over(suspects))
+    long = hot.select("key", "fp").mapInArrow(lengthen, "key long, fp long")
+    cool, crowded = parted(long, over(long))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
-    other = rows.join(hot, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = crowded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.greatest("own", "other") * (F.greatest("own", "other") + 1) / 2 + F.least("own", "other") + 1
-    return _links(cold.unionAll(other.select("key", "fp", pair.cast("int").alias("cell"))))
+    blocks = dealt.select("key", "fp", pair.cast("int").alias("cell"))
+    # keys and long keys are apart: a long key of a crowded key is at least that key, which is crowded itself
+    return _links(cold.unionAll(cool).withColumn("cell", F.lit(0)).unionAll(blocks))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -251,9 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints at four or fewer differing bits are linked, and component_id is the smallest id reachable
     over links, the own one included. Equal fingerprints are one node, so exact copies cost nothing here.
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Null ids take part but
-    are no component_id; rows with the same id are rows of their own. Columns named fp or component_id are
-    replaced. Empty in, empty out.
+    Null, empty and blank texts have fingerprint zero and are linked like any other; texts are taken whole, however
+    long. Null ids take part but are no component_id; rows with the same id are rows of their own. Columns named fp
+    or component_id are replaced. Empty in, empty out.
     """
     prints = staged(with_fingerprint(docs.drop("component_id"), text_col, shingle), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("least")), "nodes")
@@ -269,7 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row of docs for each component: that of the smallest id (by text hash among rows with that id).
 
-    Components are named by their least text hash, as ids may be null or repeat; null ids come last.
+    Components are named by their least text hash, as ids may be null or repeat; null ids come last. Null, empty and
+    blank texts are one group. Columns stay as they are. Empty in, empty out.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     members = near_duplicates(slim, "h", "text", shingle)
