@@ -1,15 +1,19 @@
-"""Near copies by exact shingle similarity, for the pipeline.
+"""Near copies: SimHash with exact verification, and what fingerprints cannot tell by a prefix filter.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; groups are what
-links connect. At 0.8, SimHash fingerprints differ in some ten of 64 bits, which no bound that still tells texts
-apart reaches with certainty. So the pairs that meet come from a prefix filter, which misses none: where shingles
-have one order for all texts, two sets that are that similar share a shingle among the first n - ceil(0.8 n) + 1
-of each. The order puts the shingles that repeat in a bounded sample of texts last, by their number; this decides
-only how many pairs meet, not which are found. Parities of the shingles by hash bound from below how many differ;
-pairs that may still be similar are verified on the whole sets.
-
-Texts of the same set are one node, so exact copies cost nothing. Of the others that meet at a shingle, each is
-first compared with one that is the least or the next in size; then all pairs that are not yet connected are.
+links connect. Pairs come from three sources, each verified on the whole sets:
+
+1. Fingerprints of those shingles that differ in at most four of 64 bits, found by Golay-code keys (see simhash).
+2. At 0.8 fingerprints differ in some ten bits, which no bound reaches that still tells texts apart. So what is not
+   connected yet meets by a prefix filter: where shingles have one order for all texts, two sets that are that
+   similar share a shingle among the first n - ceil(0.8 n) + 1 of each. In a few turns, each text is compared with
+   two others at each shingle that belong to another group, so that most of a large group of near copies is
+   connected by about as many comparisons as it has members.
+3. Then all pairs that meet and still belong to different groups are compared, so that no link is lost.
+
+The order puts the shingles that repeat in a bounded sample of texts last, by their number; this decides only how
+many pairs meet, not which are found. Parities of the shingles by hash bound from below how many differ; only pairs
+that may still be similar are verified. Texts of the same set are one node, so exact copies cost nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from pairwell.llm.common import sized, staged
 from pairwell.llm.components import components
+from pairwell.llm.simhash import fingerprint_of, link_forest, shingle_hashes
 
 SHINGLE = 5
 #: Similarity that links, as a fraction.
@@ -32,6 +37,8 @@ SEED = 42
 #: Texts that tell which shingles are frequent, and shingles that are carried to all tasks (16 bytes each).
 SAMPLE_DOCS = 4000
 FREQUENT = 1 << 16
+#: Turns in which texts meet neighbours, before all that are left meet. They change the number of comparisons only.
+TURNS = 2
 #: Rows held in a task before groups are paired.
 HELD = 500_000
 PAIRS = "a long, b long"
@@ -39,10 +46,7 @@ PAIRS = "a long, b long"
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes (uint64) of the distinct shingles; a shorter text is one shingle, a blank one has none."""
-    words = text.encode().lower().split() if text else []
-    digest = xxhash.xxh64_intdigest
-    some = {digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(max(len(words) - SHINGLE + 1, 1))} if words else set()
-    return np.array(sorted(some), np.uint64)
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -137,19 +141,24 @@ def _met(rows: DataFrame) -> DataFrame:
     return staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n long"), "met")
 
 
-def _first_pairs(met: DataFrame) -> DataFrame:
-    """Each node with the next in size, and with the least, among those of its key."""
+def _next_pairs(met: DataFrame, turn: int) -> DataFrame:
+    """Each node of met(key, node, n, root) with its neighbours of another root at the same key, in an order drawn by turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node in _groups(batches, ("key", "n", "node")):
-            new = np.r_[True, key[1:] != key[:-1]]
-            least = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for key, _, n, root, node in _groups(batches, ("key", "drawn", "n", "root", "node")):
+            last = len(key) - 1
             at = np.arange(len(key))
-            i, j = np.r_[at[~new], at[~new]], np.r_[at[~new] - 1, least[~new]]
-            ok = _fits(n[i], n[j])
+            other = (key[1:] != key[:-1]) | (root[1:] != root[:-1])
+            start = np.maximum.accumulate(np.where(np.r_[True, other], at, 0))  # of the run of rows of one root
+            end = np.minimum.accumulate(np.where(np.r_[other, True], at, last)[::-1])[::-1]
+            i, j = np.r_[at, at], np.r_[start - 1, end + 1]
+            ok = (j >= 0) & (j <= last)
+            i, j = i[ok], j[ok]
+            ok = (key[i] == key[j]) & _fits(n[i], n[j])
             yield _pairs(node[i[ok]], node[j[ok]])
 
-    return met.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, PAIRS).distinct()
+    drawn = met.withColumn("drawn", F.xxhash64(F.lit(turn), "node")).repartition("key").sortWithinPartitions("key", "drawn", "node")
+    return drawn.mapInArrow(run, PAIRS).distinct()
 
 
 def _other_pairs(met: DataFrame) -> DataFrame:
@@ -226,7 +235,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, root) for each row of docs: its id, its text's hash, and a number that its group alone has.
 
-    A null id is the greatest. Null, empty and blank texts are one group.
+    A null id is the greatest. Null, empty and blank texts are one group. Texts are taken whole. Empty in, empty out.
     """
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id")
     slim = docs.select(ident, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
@@ -235,28 +244,44 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x.as_py()) for x in b.column("text")]
+            hashes = [shingle_hashes(x.as_py(), SHINGLE) for x in b.column("text")]
+            prints = pa.array([fingerprint_of(x) for x in hashes], pa.int64())
+            sets = [np.unique(x) for x in hashes]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([prefix(s, *sent.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            cols = pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array([parities(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *cols], ["id", "h", "node", "n", "keys", "p"])
+            cols = prints, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array([parities(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *cols], ["id", "h", "fp", "node", "n", "keys", "p"])
+
+    sets = staged(slim.mapInArrow(run, "id long, h long, fp long, node long, n long, keys array<long>, p binary"), "sets")
+    prints = staged(sets.groupBy("node").agg(F.first("fp").alias("fp")), "prints")
+    least = staged(prints.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    forest = link_forest(least.select("fp"))
+    ends = forest.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = prints.join(least, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    alike = ends.select("x", "y").unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _verified(alike, sets, slim)
 
-    sets = staged(slim.mapInArrow(run, "id long, h long, node long, n long, keys array<long>, p binary"), "sets")
     nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     met = _met(nodes.select(F.explode("keys").alias("key"), "node", "n"))
     nodes = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     nodes = staged(nodes, "nodes")
-    first = _plausible(_first_pairs(met), nodes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(first, sets, slim)
-    stars = staged(components(links), "stars")
-    rooted = met.join(stars, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    links = links.unionAll(_verified(_plausible(_other_pairs(rooted), nodes), sets, slim))
-    stars = staged(components(links), "stars")
+    for turn in range(TURNS + 1):
+        stars = staged(components(links), "stars")
+        rooted = met.join(stars, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        if turn == TURNS:
+            break
+        links = links.unionAll(_verified(_plausible(_next_pairs(rooted, turn), nodes), sets, slim))
+    more = _verified(_plausible(_other_pairs(rooted), nodes), sets, slim)
+    if not more.isEmpty():
+        stars = staged(components(links.unionAll(more)), "stars")
     return sets.join(stars, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group: that of the smallest id (by text hash among rows with that id)."""
+    """One row of docs for each group: that of the smallest id (by text hash among rows with that id), unchanged.
+
+    Of rows with the same id and text one stays. Null ids come last; null, empty and blank texts are one group.
+    """
     keep = near_copies(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct("id", "h")).alias("best"))
     keep = staged(keep.select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h")), "kept")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
