@@ -239,7 +239,7 @@ def _scan(docs: DataFrame, length: int, keep: str, full: bool) -> DataFrame:
             cols = [ids[text], marks[text], lo, hi, m.astype(np.int64), np.concatenate([x["r"][rows], fill]), n]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "t", "lo", "hi", "m", "r", "n"])
 
-    schema = "id long, t int, lo long, hi long, m long, r long, n long" if full else "m long, r long, n long"
+    schema = "id long, t binary, lo long, hi long, m long, r long, n long" if full else "m long, r long, n long"
     return docs.mapInArrow(run, schema)
 
 
@@ -254,18 +254,18 @@ def _regions(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 data = unpack.decompress(z)
                 out += [(x["m"], i, t, x["lo"], data[x["lo"] : x["hi"] + length]) for x in runs]
             cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["m", "id", "t", "lo", "bytes"])
 
-    return docs.join(wanted, ["id", "t"]).mapInArrow(run, "m long, id long, t int, lo long, bytes binary")
+    return docs.join(wanted, ["id", "t"]).mapInArrow(run, "m long, id long, t binary, lo long, bytes binary")
 
 
-SPANS = "id long, t int, lo long, hi long"
+SPANS = "id long, t binary, lo long, hi long"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
     cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 4
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "t", "lo", "hi"])
 
 
@@ -330,7 +330,7 @@ def _by_window_hash(regions: DataFrame, length: int, keep: str) -> DataFrame:
         def batch() -> pa.RecordBatch:
             keys = [halves(h) for h in out]
             cols = [[k[0] for k in keys], [k[1] for k in keys], *[[v[j] for v in out.values()] for j in range(4)]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["w1", "w2", "n", "id", "t", "lo"])
 
         for row in rows_of(batches):
@@ -343,7 +343,7 @@ def _by_window_hash(regions: DataFrame, length: int, keep: str) -> DataFrame:
                 out.clear()
         yield batch()
 
-    seen = regions.mapInArrow(windows, "w1 long, w2 long, n long, id long, t int, lo long")
+    seen = regions.mapInArrow(windows, "w1 long, w2 long, n long, id long, t binary, lo long")
     seen = seen.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "lo")).alias("first")).where("n > 1")
     seen = staged(seen.select("w1", "w2", "first.*"), "windows")
     if seen.count() <= CARRIED:
@@ -364,10 +364,10 @@ def _by_window_hash(regions: DataFrame, length: int, keep: str) -> DataFrame:
         for row in rows_of(batches):
             keys = [halves(h) for h in hashes(row)]
             n = len(keys)
-            cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([row[0]] * n, pa.int64()), pa.array([row[1]] * n, pa.int32()), pa.array(range(row[2], row[2] + n), pa.int64())]
+            cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([row[0]] * n, pa.int64()), pa.array([row[1]] * n, pa.binary()), pa.array(range(row[2], row[2] + n), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "id", "t", "lo"])
 
-    each = regions.mapInArrow(places, "w1 long, w2 long, id long, t int, lo long").alias("p")
+    each = regions.mapInArrow(places, "w1 long, w2 long, id long, t binary, lo long").alias("p")
     both = each.join(seen.alias("f"), ["w1", "w2"])
     if keep == "first":
         both = both.where("p.id <> f.id or p.t <> f.t or p.lo <> f.lo")
@@ -412,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", i
     places of their own under "none", and are all treated as the first is under "first". Columns with the
     names of the results are replaced. Empty in, empty out.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("t")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("t")
     rest = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans")]
     own = [f"c{k}" for k in range(len(rest))]
     slim = docs.select(*key, F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, own, strict=True)])
