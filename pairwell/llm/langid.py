@@ -83,7 +83,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 200, ridge: float = 0.1) -
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     by_lang = [[t for t, c in rows if c == lang] for lang in langs]
-    turns = [texts[k] for k in range(max(map(len, by_lang))) for texts in by_lang if k < len(texts)][:landmarks]
+    turns = [texts[k] for k in range(max(map(len, by_lang))) for texts in by_lang if k < len(texts)][: max(landmarks, 2 * len(langs))]
     parts = [(x != 0, n) for x, n in blocks(turns, None, 64)]
     seen = np.concatenate([x for x, _ in parts])
     columns = np.flatnonzero(seen.any(axis=0))
@@ -102,10 +102,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 200, ridge: float = 0.1) -
     return Model(langs, columns, (marks.T.astype(np.float64) @ (whiten @ fitted)).astype(np.float32))
 
 
-def sample(docs: DataFrame, train: Column, per_lang: int, max_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """About per_lang labelled rows of each language, those of the least id hashes; all statistics are exact."""
+def sample(docs: DataFrame, train: Column, per_lang: int, max_rows: int, max_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """About per_lang labelled rows of each language, fewer if that is over max_rows in all: those of the least id hashes."""
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = staged(labelled.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")), "langs")
+    per_lang = min(per_lang, max_rows // max(counts.count(), 1))
     unit = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = labelled.where(F.char_length(text_col) <= max_chars).join(counts, F.col(lang_col) == F.col("__lang"))
     rows = rows.where(unit * F.col("__n") <= per_lang).select(unit.alias("u"), F.col(text_col).alias("t"), F.col(lang_col).alias("c")).collect()
@@ -116,6 +117,7 @@ def identify(
     docs: DataFrame,
     train: Column,
     per_lang: int = 400,
+    max_rows: int = 8000,
     landmarks: int = 200,
     max_chars: int = 50_000,
     id_col: str = "doc_id",
@@ -124,12 +126,13 @@ def identify(
 ) -> DataFrame:
     """docs without text_col, plus lang_pred (string) and score (double, 0 to 1).
 
-    Learns from a bounded sample: about per_lang rows of each language among those that train selects and that
-    have a language and at most max_chars characters. Predicts every whole text, of any length, from the text alone. `und` with score 0
+    Learns from a bounded sample: about per_lang rows of each language, max_rows in all, among those that train
+    selects and that have a language and at most max_chars characters. There are `landmarks`, and at least two for
+    each language. Predicts every whole text, of any length, from the text alone. `und` with score 0
     where text is null, empty or has no letter, or where there was nothing to learn from. Rows with the same
     text get the same result. Columns named lang_pred or score are replaced. Empty in, empty out.
     """
-    model = fit(sample(docs, train, per_lang, max_chars, id_col, text_col, lang_col), landmarks)
+    model = fit(sample(docs, train, per_lang, max_rows, max_chars, id_col, text_col, lang_col), landmarks)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.columns, model.weights))  # at most 2**18 x languages
     rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 
