@@ -38,9 +38,11 @@ SEED = 42
 SAMPLE_DOCS = 4000
 FREQUENT = 1 << 16
 #: Turns in which texts meet neighbours, before all that are left meet. They change the number of comparisons only.
-TURNS = 2
+TURNS = 1
 #: Rows held in a task before groups are paired.
-HELD = 500_000
+HELD = 100_000
+#: Bytes of parities that travel with each key.
+SHORT = 128
 PAIRS = "a long, b long"
 
 
@@ -71,6 +73,41 @@ def may_be_similar(n: int, m: int, x: bytes, y: bytes) -> bool:
     return (NEAR[1] - NEAR[0]) * (n + m) >= (NEAR[1] + NEAR[0]) * differ
 
 
+def halved(p: bytes) -> bytes:
+    """The parities of half as many cells."""
+    a = np.frombuffer(p, np.uint8)
+    return (a[: len(a) // 2] ^ a[len(a) // 2 :]).tobytes()
+
+
+def shortened(p: bytes) -> bytes:
+    while len(p) > SHORT:
+        p = halved(p)
+    return p
+
+
+def _words(parts: list[bytes]) -> np.ndarray:
+    """Parities as rows of equal width, zeros behind."""
+    return np.frombuffer(b"".join(x.ljust(SHORT, b"\0") for x in parts), np.uint64).reshape(len(parts), SHORT // 8)
+
+
+class Sketches:
+    """Short parities of many sets, by which one set is held against several."""
+
+    def __init__(self, parts: list[bytes], n: np.ndarray) -> None:
+        self.n, self.size = n, np.array([len(x) for x in parts])
+        self.full, self.half = _words(parts), _words([halved(x) if len(x) > 8 else b"" for x in parts])
+
+    def may_be_similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of others may be near copies of i. Sets that fit in size have as many cells, half or twice as many."""
+        ok = _fits(self.n[i], self.n[others])
+        for mine, theirs, ratio in ((self.full, self.full, 1), (self.full, self.half, 2), (self.half, self.full, 0.5)):
+            at = np.flatnonzero(ok & (self.size[others] == ratio * self.size[i]))
+            if len(at):
+                differ = np.bitwise_count(mine[i] ^ theirs[others[at]]).sum(axis=1, dtype=np.int64)
+                ok[at] = (NEAR[1] - NEAR[0]) * (self.n[i] + self.n[others[at]]) >= (NEAR[1] + NEAR[0]) * differ
+        return ok
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles by (sampled count, hash); frequent is sorted."""
     n = len(shingles)
@@ -103,21 +140,30 @@ def frequent_shingles(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[np.ndarray]:
     """int64 columns of rows sorted by the first; rows of one key are never parted."""
+    for part, _ in _parts(batches, names, None):
+        yield part
+
+
+def _parts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], extra: str | None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The same, with a binary column."""
     held: list[np.ndarray] = []
+    more: list[bytes] = []
     size = 0
     for b in batches:
         if not b.num_rows:
             continue
+        if extra:
+            more += b.column(extra).to_pylist()
         held.append(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]))
         size += b.num_rows
         if size < HELD or held[-1][0, -1] == held[0][0, 0]:
             continue
         part = np.concatenate(held, axis=1)
         cut = int(np.argmax(part[0] == part[0, -1]))  # its group may go on
-        yield part[:, :cut]
-        held, size = [part[:, cut:]], part.shape[1] - cut
+        yield part[:, :cut], more[:cut]
+        held, size, more = [part[:, cut:]], part.shape[1] - cut, more[cut:]
     if held:
-        yield np.concatenate(held, axis=1)
+        yield np.concatenate(held, axis=1), more
 
 
 def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -130,15 +176,16 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Those of rows(key, node, n) whose key others have too, staged."""
+    """Those of rows(key, node, n, q) whose key others have too, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, ("key", "node", "n")):
+        for part, q in _parts(batches, ("key", "node", "n"), "q"):
             same = part[0, 1:] == part[0, :-1]
-            part = part[:, np.r_[False, same] | np.r_[same, False]]
-            yield pa.RecordBatch.from_arrays([pa.array(part[0].copy()), pa.array(part[1].copy()), pa.array(part[2].copy())], ["key", "node", "n"])
+            at = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+            cols = [pa.array(part[k, at].copy()) for k in range(3)] + [pa.array([q[i] for i in at.tolist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "node", "n", "q"])
 
-    return staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n long"), "met")
+    return staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n long, q binary"), "met")
 
 
 def _next_pairs(met: DataFrame, turn: int) -> DataFrame:
@@ -157,23 +204,28 @@ def _next_pairs(met: DataFrame, turn: int) -> DataFrame:
             ok = (key[i] == key[j]) & _fits(n[i], n[j])
             yield _pairs(node[i[ok]], node[j[ok]])
 
-    drawn = met.withColumn("drawn", F.xxhash64(F.lit(turn), "node")).repartition("key").sortWithinPartitions("key", "drawn", "node")
+    drawn = met.drop("q").withColumn("drawn", F.xxhash64(F.lit(turn), "node")).repartition("key").sortWithinPartitions("key", "drawn", "node")
     return drawn.mapInArrow(run, PAIRS).distinct()
 
 
 def _other_pairs(met: DataFrame) -> DataFrame:
-    """All pairs of nodes at one key of met(key, node, n, root) whose roots differ and whose sizes fit."""
+    """Pairs of nodes at one key of met(key, node, n, q, root) whose roots differ and that may be near copies by q.
+
+    Of the parts of a key that have one root each, the largest meets the others row by row of theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, root, n, node in _groups(batches, ("key", "root", "n", "node")):
+        for (key, root, n, node), q in _parts(batches, ("key", "root", "n", "node"), "q"):
             edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            open_ = root[edges[:-1]] != root[edges[1:] - 1]
+            if not open_.any():
+                continue
+            sketches = Sketches(q, n)
             left, right, size = [], [], 0
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if root[lo] == root[hi - 1]:
-                    continue
+            for lo, hi in zip(edges[:-1][open_].tolist(), edges[1:][open_].tolist(), strict=True):
                 ends = np.flatnonzero(np.r_[root[lo + 1 : hi] != root[lo : hi - 1], True]) + lo + 1
                 starts = np.r_[lo, ends[:-1]]
-                main = int(np.argmax(ends - starts))  # the largest part meets the others row by row of theirs
+                main = int(np.argmax(ends - starts))
                 for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                     if k == main:
                         continue
@@ -181,7 +233,7 @@ def _other_pairs(met: DataFrame) -> DataFrame:
                     if main < k:
                         rest = np.r_[np.arange(starts[main], ends[main]), rest]
                     for i in range(s, e):
-                        j = rest[_fits(n[i], n[rest])]
+                        j = rest[sketches.may_be_similar(i, rest)]
                         left.append(np.full(len(j), node[i]))
                         right.append(node[j])
                         size += len(j)
@@ -242,17 +294,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent, counts = frequent_shingles(slim)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # at most FREQUENT shingles
 
+    def described(text: str | None) -> tuple:
+        hashes = shingle_hashes(text, SHINGLE)
+        own = np.unique(hashes)
+        node = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+        return fingerprint_of(hashes), node - (node >> 63 << 64), len(own), prefix(own, *sent.value).view(np.int64), (p := parities(own)), shortened(p)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(x.as_py(), SHINGLE) for x in b.column("text")]
-            prints = pa.array([fingerprint_of(x) for x in hashes], pa.int64())
-            sets = [np.unique(x) for x in hashes]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([prefix(s, *sent.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            cols = prints, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array([parities(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *cols], ["id", "h", "fp", "node", "n", "keys", "p"])
-
-    sets = staged(slim.mapInArrow(run, "id long, h long, fp long, node long, n long, keys array<long>, p binary"), "sets")
+            rows = [described(x.as_py()) for x in b.column("text")]
+            cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "h", "fp", "node", "n", "keys", "p", "q"])
+
+    sets = staged(slim.mapInArrow(run, "id long, h long, fp long, node long, n long, keys array<long>, p binary, q binary"), "sets")
     prints = staged(sets.groupBy("node").agg(F.first("fp").alias("fp")), "prints")
     least = staged(prints.groupBy("fp").agg(F.min("node").alias("least")), "least")
     forest = link_forest(least.select("fp"))
@@ -261,13 +316,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alike = ends.select("x", "y").unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = _verified(alike, sets, slim)
 
-    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    met = _met(nodes.select(F.explode("keys").alias("key"), "node", "n"))
+    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("q").alias("q"))
+    met = _met(nodes.select(F.explode("keys").alias("key"), "node", "n", "q"))
     nodes = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     nodes = staged(nodes, "nodes")
     for turn in range(TURNS + 1):
         stars = staged(components(links), "stars")
-        rooted = met.join(stars, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        rooted = met.join(stars, "node", "left").select("key", "node", "n", "q", F.coalesce("root", "node").alias("root"))
         if turn == TURNS:
             break
         links = links.unionAll(_verified(_plausible(_next_pairs(rooted, turn), nodes), sets, slim))

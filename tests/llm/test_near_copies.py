@@ -64,6 +64,22 @@ def test_similar_sets_share_a_prefix_shingle_in_any_order():
                 assert set(near_copies.prefix(x, frequent, counts).tolist()) & set(near_copies.prefix(y, frequent, counts).tolist())
 
 
+def test_short_parities_reject_no_similar_set():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 64, 65, 300, 1500, 5000):
+        sets = [np.unique(rng.integers(0, 1 << 62, n, np.uint64))]
+        for _ in range(40):
+            gone = rng.integers(0, len(sets[0]) // 6 + 1)
+            sets.append(np.unique(np.r_[rng.choice(sets[0], len(sets[0]) - gone, replace=False), rng.integers(0, 1 << 62, rng.integers(0, n // 8 + 1), np.uint64)]))
+        sketches = near_copies.Sketches([near_copies.shortened(near_copies.parities(x)) for x in sets], np.array([len(x) for x in sets]))
+        for i in range(len(sets)):
+            others = np.array([j for j in range(len(sets)) if j != i])
+            ok = dict(zip(others.tolist(), sketches.may_be_similar(i, others).tolist(), strict=True))
+            assert all(ok[j] for j in others.tolist() if near_copies.similar(sets[i], sets[j]))
+    far = [np.unique(rng.integers(0, 1 << 62, 300, np.uint64)) for _ in range(2)]
+    assert not near_copies.Sketches([near_copies.shortened(near_copies.parities(x)) for x in far], np.array([300, 300])).may_be_similar(0, np.array([1]))[0]
+
+
 def test_unrelated_texts_under_null_or_equal_ids_all_stay(spark):
     words = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcdefg"]
     rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2]), (5, words[3]), (5, words[4]), (5, words[4]), (6, words[5]), (None, words[5]), (None, None), (None, " ")]
