@@ -42,7 +42,7 @@ TURNS = 1
 #: Rows held in a task before groups are paired.
 HELD = 100_000
 #: Bytes of parities that travel with each key.
-SHORT = 128
+SHORT = 64
 PAIRS = "a long, b long"
 
 
@@ -320,13 +320,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = _met(nodes.select(F.explode("keys").alias("key"), "node", "n", "q"))
     nodes = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     nodes = staged(nodes, "nodes")
-    for turn in range(TURNS + 1):
-        stars = staged(components(links), "stars")
-        rooted = met.join(stars, "node", "left").select("key", "node", "n", "q", F.coalesce("root", "node").alias("root"))
-        if turn == TURNS:
-            break
-        links = links.unionAll(_verified(_plausible(_next_pairs(rooted, turn), nodes), sets, slim))
-    more = _verified(_plausible(_other_pairs(rooted), nodes), sets, slim)
+    rooted = lambda roots: met.join(roots, "node", "left").select("key", "node", "n", "q", F.coalesce("root", "node").alias("root"))
+    for turn in range(TURNS):  # here a node's root is just the least of its neighbours, as it only saves comparisons
+        near = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+        near = near.select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+        links = links.unionAll(_verified(_plausible(_next_pairs(rooted(near), turn), nodes), sets, slim))
+    stars = staged(components(links), "stars")
+    more = _verified(_plausible(_other_pairs(rooted(stars)), nodes), sets, slim)
     if not more.isEmpty():
         stars = staged(components(links.unionAll(more)), "stars")
     return sets.join(stars, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))

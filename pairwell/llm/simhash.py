@@ -37,7 +37,7 @@ MAX_BITS = 4
 #: Fingerprints of one key that are compared in one block; keys with more are made longer.
 BLOCK = 4096
 #: Counters of hashed keys, by which most keys are seen not to be crowded.
-CELLS = 1 << 16
+CELLS = 1 << 14
 
 
 def syndrome(word: int) -> int:
