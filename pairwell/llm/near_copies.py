@@ -6,8 +6,8 @@ links connect. Pairs come from three sources, each verified on the whole sets:
 1. Fingerprints of those shingles that differ in at most four of 64 bits, found by Golay-code keys (see simhash).
 2. At 0.8 fingerprints differ in some ten bits, which no bound reaches that still tells texts apart. So what is not
    connected yet meets by a prefix filter: where shingles have one order for all texts, two sets that are that
-   similar share a shingle among the first n - ceil(0.8 n) + 1 of each. In a few turns, each text is compared with
-   two others at each shingle that belong to another group, so that most of a large group of near copies is
+   similar share a shingle among the first n - ceil(0.8 n) + 1 of each. First each text is compared with
+   a few others at each shingle that belong to another group, so that most of a large group of near copies is
    connected by about as many comparisons as it has members.
 3. Then all pairs that meet and still belong to different groups are compared, so that no link is lost.
 
@@ -37,8 +37,10 @@ SEED = 42
 #: Texts that tell which shingles are frequent, and shingles that are carried to all tasks (16 bytes each).
 SAMPLE_DOCS = 4000
 FREQUENT = 1 << 16
-#: Turns in which texts meet neighbours, before all that are left meet. They change the number of comparisons only.
+#: Turns in which texts meet a few partners at each key, before all that are left meet, and how many. Both change the
+#: number of comparisons only.
 TURNS = 1
+PARTNERS = 3
 #: Rows held in a task before groups are paired.
 HELD = 100_000
 #: Bytes of parities that travel with each key.
@@ -188,30 +190,11 @@ def _met(rows: DataFrame) -> DataFrame:
     return staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n long, q binary"), "met")
 
 
-def _next_pairs(met: DataFrame, turn: int) -> DataFrame:
-    """Each node of met(key, node, n, root) with its neighbours of another root at the same key, in an order drawn by turn."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, n, root, node in _groups(batches, ("key", "drawn", "n", "root", "node")):
-            last = len(key) - 1
-            at = np.arange(len(key))
-            other = (key[1:] != key[:-1]) | (root[1:] != root[:-1])
-            start = np.maximum.accumulate(np.where(np.r_[True, other], at, 0))  # of the run of rows of one root
-            end = np.minimum.accumulate(np.where(np.r_[other, True], at, last)[::-1])[::-1]
-            i, j = np.r_[at, at], np.r_[start - 1, end + 1]
-            ok = (j >= 0) & (j <= last)
-            i, j = i[ok], j[ok]
-            ok = (key[i] == key[j]) & _fits(n[i], n[j])
-            yield _pairs(node[i[ok]], node[j[ok]])
-
-    drawn = met.drop("q").withColumn("drawn", F.xxhash64(F.lit(turn), "node")).repartition("key").sortWithinPartitions("key", "drawn", "node")
-    return drawn.mapInArrow(run, PAIRS).distinct()
-
-
-def _other_pairs(met: DataFrame) -> DataFrame:
+def _other_pairs(met: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of nodes at one key of met(key, node, n, q, root) whose roots differ and that may be near copies by q.
 
-    Of the parts of a key that have one root each, the largest meets the others row by row of theirs.
+    Of the parts of a key that have one root each, the largest meets the others row by row of theirs. most: only so
+    many partners of each row, drawn at random; without it all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +204,7 @@ def _other_pairs(met: DataFrame) -> DataFrame:
             if not open_.any():
                 continue
             sketches = Sketches(q, n)
+            rng = np.random.default_rng(len(key))
             left, right, size = [], [], 0
             for lo, hi in zip(edges[:-1][open_].tolist(), edges[1:][open_].tolist(), strict=True):
                 ends = np.flatnonzero(np.r_[root[lo + 1 : hi] != root[lo : hi - 1], True]) + lo + 1
@@ -234,6 +218,8 @@ def _other_pairs(met: DataFrame) -> DataFrame:
                         rest = np.r_[np.arange(starts[main], ends[main]), rest]
                     for i in range(s, e):
                         j = rest[sketches.may_be_similar(i, rest)]
+                        if most is not None and len(j) > most:
+                            j = rng.choice(j, most, replace=False)
                         left.append(np.full(len(j), node[i]))
                         right.append(node[j])
                         size += len(j)
@@ -321,11 +307,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     nodes = staged(nodes, "nodes")
     rooted = lambda roots: met.join(roots, "node", "left").select("key", "node", "n", "q", F.coalesce("root", "node").alias("root"))
-    for turn in range(TURNS):  # here a node's root is just the least of its neighbours, as it only saves comparisons
-        near = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-        near = near.select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-        links = links.unionAll(_verified(_plausible(_next_pairs(rooted(near), turn), nodes), sets, slim))
-    stars = staged(components(links), "stars")
+    # at first a node's root is just the least of its neighbours, as it only saves comparisons
+    near = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    stars = near.select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+    for _ in range(TURNS):
+        links = links.unionAll(_verified(_plausible(_other_pairs(rooted(stars), PARTNERS), nodes), sets, slim))
+        stars = staged(components(links), "stars")
     more = _verified(_plausible(_other_pairs(rooted(stars)), nodes), sets, slim)
     if not more.isEmpty():
         stars = staged(components(links.unionAll(more)), "stars")
