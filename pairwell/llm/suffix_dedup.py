@@ -36,7 +36,8 @@ CHUNK = (1 << 20) - 1024
 GROUP = 4096
 #: Bytes whose suffixes are sorted at once.
 SORTED = 1 << 20
-#: Repeated windows of crowded groups that may travel to all tasks (16 bytes each, and the first place of each).
+#: Repeated windows of crowded groups that may travel to all tasks: 16 bytes each, and 32 for the first place under
+#: "first". More are joined.
 CARRIED = 1 << 20
 NO_ID = -(2**63)
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -309,29 +310,33 @@ def _by_suffix_order(regions: DataFrame, length: int, keep: str) -> DataFrame:
     return regions.repartition("m").sortWithinPartitions("m", "id", "t", "lo").mapInArrow(run, SPANS)
 
 
+def _carried(seen: DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of seen(w, or w, id, t, lo) as arrays of fixed width, sorted by w."""
+    rows = seen.toArrow()  # at most CARRIED
+    cols = [np.array(rows.column(c).to_pylist(), "S16") if c in ("w", "t") else rows.column(c).to_numpy() for c in rows.column_names]
+    order = np.argsort(cols[0])
+    return tuple(x[order] for x in cols)
+
+
 def _by_window_hash(regions: DataFrame, length: int, keep: str) -> DataFrame:
     """The same for anchors of very many runs: windows are hashed and counted, wherever they are."""
     regions = regions.repartition("id", "lo")
 
-    def hashes(row: tuple) -> list[int]:
-        digest, view = xxhash.xxh3_128_intdigest, memoryview(row[3])
+    def hashes(row: tuple) -> list[bytes]:
+        digest, view = xxhash.xxh3_128_digest, memoryview(row[3])
         return [digest(view[p : p + length]) for p in range(len(view) - length + 1)]
 
-    def halves(h: int) -> tuple[int, int]:
-        return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
-
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             yield from zip(*(b.column(c).to_pylist() for c in ("id", "t", "lo", "bytes")), strict=True)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict = {}
+        out: dict[bytes, tuple] = {}
 
         def batch() -> pa.RecordBatch:
-            keys = [halves(h) for h in out]
-            cols = [[k[0] for k in keys], [k[1] for k in keys], *[[v[j] for v in out.values()] for j in range(4)]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["w1", "w2", "n", "id", "t", "lo"])
+            cols = [list(out), *[[v[j] for v in out.values()] for j in range(4)]]
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["w", "n", "id", "t", "lo"])
 
         for row in rows_of(batches):
             for p, h in enumerate(hashes(row)):
@@ -343,32 +348,41 @@ def _by_window_hash(regions: DataFrame, length: int, keep: str) -> DataFrame:
                 out.clear()
         yield batch()
 
-    seen = regions.mapInArrow(windows, "w1 long, w2 long, n long, id long, t binary, lo long")
-    seen = seen.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "lo")).alias("first")).where("n > 1")
-    seen = staged(seen.select("w1", "w2", "first.*"), "windows")
+    seen = regions.mapInArrow(windows, "w binary, n long, id long, t binary, lo long")
+    seen = seen.groupBy("w").agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "lo")).alias("first")).where("n > 1")
+    seen = staged(seen.select("w", "first.*"), "windows")
     if seen.count() <= CARRIED:
-        known = {(r.w1, r.w2): (r.id, r.t, r.lo) for r in seen.collect()}
-        sent = regions.sparkSession.sparkContext.broadcast(known)
+        sent = regions.sparkSession.sparkContext.broadcast(_carried(seen if keep == "first" else seen.select("w")))
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, *first = sent.value
             out = []
             for row in rows_of(batches):
-                firsts = [sent.value.get(halves(h)) for h in hashes(row)]
-                flags = np.array([f is not None and (keep != "first" or f != (row[0], row[1], row[2] + p)) for p, f in enumerate(firsts)])
+                own = np.array(hashes(row), "S16")
+                flags = np.zeros(len(own), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    flags = known[at] == own
+                    if first:
+                        ids, marks, los = first
+                        flags &= (ids[at] != row[0]) | (marks[at] != row[1]) | (los[at] != row[2] + np.arange(len(own)))
                 out += [(row[0], row[1], row[2] + int(s), row[2] + int(e) + length) for s, e in zip(*_stretches(flags), strict=True)]
+                if len(out) > 10_000:
+                    yield _spans(out)
+                    out = []
             yield _spans(out)
 
         return regions.mapInArrow(mark, SPANS)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            keys = [halves(h) for h in hashes(row)]
+            keys = hashes(row)
             n = len(keys)
-            cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([row[0]] * n, pa.int64()), pa.array([row[1]] * n, pa.binary()), pa.array(range(row[2], row[2] + n), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "id", "t", "lo"])
+            cols = [pa.array(keys, pa.binary()), pa.array([row[0]] * n, pa.int64()), pa.array([row[1]] * n, pa.binary()), pa.array(range(row[2], row[2] + n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["w", "id", "t", "lo"])
 
-    each = regions.mapInArrow(places, "w1 long, w2 long, id long, t binary, lo long").alias("p")
-    both = each.join(seen.alias("f"), ["w1", "w2"])
+    each = regions.mapInArrow(places, "w binary, id long, t binary, lo long").alias("p")
+    both = each.join(seen.alias("f"), "w")
     if keep == "first":
         both = both.where("p.id <> f.id or p.t <> f.t or p.lo <> f.lo")
     return both.select("p.id", "p.t", "p.lo", (F.col("p.lo") + length).alias("hi"))
