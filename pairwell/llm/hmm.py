@@ -2,9 +2,9 @@
 
 Latent states emit one of a fixed number of symbols: a frequent word, the end of the text, or a class of rarer
 words (by the last two bytes). A rarer word is then drawn from its class by its smoothed frequency. Word counts
-cover all training documents. The states' start values come from Baum-Welch on a bounded sample, which breaks the
-symmetry; they are then trained by Baum-Welch over all training documents, each as one whole sequence, with expected
-counts summed across partitions.
+cover all training documents. So do the counts of which symbols follow which, from which the states' start values are
+fitted. The states are then trained by Baum-Welch over all training documents, each as one whole sequence, with
+expected counts summed across partitions. Nothing is learned from a sample.
 
 A document's score is the exact likelihood of its whole token sequence: scaled forward recursion over the
 symbols, times the words' probabilities within their classes. Frequent words' counts travel as a table of
@@ -34,11 +34,11 @@ CARRIED = 1 << 18
 CLASSES = 512
 #: Rounds of Baum-Welch over all training documents.
 FULL_ROUNDS = 2
-#: The sample that start values come from (nothing else does), and its rounds: documents drawn by a hash of the id, of
-#: at most so many characters each, so that it fits on the driver.
-SAMPLE_ROUNDS = 12
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 50_000
+#: Start values: rounds over the counts of pairs of neighbours, one of which is told apart by so many groups only, which
+#: bounds the table on the driver. Pairs taken at once.
+PAIR_ROUNDS = 100
+GROUPS = 256
+PAIRS = 1 << 20
 #: Symbols of documents that are run through side by side, and how many at least: fewer are run one by one.
 TOGETHER = 400_000
 FEW = 3
@@ -354,37 +354,94 @@ def _forward(model: Model, sequences: list[np.ndarray], starts: np.ndarray) -> t
     return alpha[back], logs[back]
 
 
-def _sample_rounds(texts: list[str], reader: Reader, unigram: np.ndarray, states: int, seed: int) -> Model:
-    """Start values: a few rounds over a sample."""
-    model = first_model(unigram, states, seed)
-    sequences = [reader.symbols(tokens(x))[0] for x in texts]
-    for _ in range(SAMPLE_ROUNDS if sequences else 0):
-        counts = Counts(len(unigram), states)
-        pools = Pools(model, counts)
-        for s in sequences:
-            pools.add(s)
-        pools.finish()
-        model = counts.model(unigram)
-    return model
+def _sequences(docs: DataFrame, text_col: str, shared) -> DataFrame:
+    """(s binary) symbols of each text with the end, two bytes each, as there are HEAD + CLASSES + 1 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(Vocabulary(**shared.value))
+        for b in batches:
+            rows = [reader.symbols(tokens(x.as_py()))[0].astype("<u2").tobytes() for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["s"])
+
+    return docs.select(text_col).mapInArrow(run, "s binary")
 
 
-def _full_round(docs: DataFrame, text_col: str, shared, model: Model, unigram: np.ndarray) -> Model:
-    """One round of Baum-Welch over all docs: each task's expected counts, summed by symbol."""
+def groups_of(vocab: Vocabulary) -> np.ndarray:
+    """Group of each symbol as a neighbour: its own for the end and the most frequent words, else by remainder."""
+    own, ids = min(GROUPS * 3 // 4, vocab.head), np.arange(vocab.symbols)
+    out = np.where(ids < own, ids, own + ids % (GROUPS - 1 - own))
+    out[vocab.end] = GROUPS - 1
+    return out
+
+
+def pair_counts(sequences: DataFrame, shared) -> np.ndarray:
+    """How often each symbol is followed (0) and preceded (1) by one of each group, over all sequences."""
+    whole = Vocabulary(**shared.value)
+    shape = (2, whole.symbols, GROUPS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = Vocabulary(**shared.value)
+        group, sums = groups_of(vocab), np.zeros((2, shape[1] * GROUPS), np.int64)
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2")
+            for at in range(0, len(flat) - 1, PAIRS):
+                part = flat[at : at + PAIRS + 1].astype(np.int64)
+                inside = part[:-1] != vocab.end  # the end is a text's last symbol: no pair reaches into the next text
+                first, second = part[:-1][inside], part[1:][inside]
+                sums[0] += np.bincount(first * GROUPS + group[second], minlength=sums.shape[1])
+                sums[1] += np.bincount(second * GROUPS + group[first], minlength=sums.shape[1])
+        sums = sums.ravel()
+        some = np.flatnonzero(sums)
+        for at in range(0, len(some), PAIRS):
+            spots = some[at : at + PAIRS]
+            yield pa.RecordBatch.from_arrays([pa.array(spots.astype(np.int32)), pa.array(sums[spots])], ["spot", "n"])
+
+    found = sequences.mapInArrow(run, "spot int, n long").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(math.prod(shape))
+    out[found.column("spot").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(shape)
+
+
+def fit_pairs(model: Model, pairs: np.ndarray, group: np.ndarray, unigram: np.ndarray) -> Model:
+    """Expectation maximization for pairs of neighbours: a state, a move, and what both states emit."""
+    after, before = pairs
+    start, move, emit = model.start, model.move, model.emit
+    for _ in range(PAIR_ROUNDS if after.any() else 0):
+        grouped = np.stack([np.bincount(group, emit[:, j], GROUPS) for j in range(len(start))], axis=1)
+        joint = start[:, None] * move  # of a state and the next
+        own = emit * start
+        ahead = move @ grouped.T
+        share = after / np.maximum(own @ ahead, 1e-300)
+        seen, moves = own * (share @ ahead.T), move * (own.T @ share @ grouped)
+        back = joint.T @ grouped.T
+        share = before / np.maximum(emit @ back, 1e-300)
+        seen += emit * (share @ back.T)
+        moves += joint * (grouped.T @ share.T @ emit)
+        seen, moves = seen / 2, moves / 2  # each pair is counted from both its ends
+        start = (seen.sum(axis=0) + 1) / (seen.sum() + len(start))
+        emit = seen + 20.0 * unigram[:, None]
+        emit /= emit.sum(axis=0)
+        move = (moves + 1) / (moves + 1).sum(axis=1, keepdims=True)
+    return Model(start, move, emit)
+
+
+def _full_round(sequences: DataFrame, model: Model, unigram: np.ndarray) -> Model:
+    """One round of Baum-Welch over all sequences: each task's expected counts, summed by symbol."""
     states = len(model.start)
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # (HEAD + CLASSES + 1) x states at most
+    sent = sequences.sparkSession.sparkContext.broadcast(vars(model))  # (HEAD + CLASSES + 1) x states at most
     size = len(unigram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts, now = Reader(Vocabulary(**shared.value)), Counts(size, states), Model(**sent.value)
-        pools = Pools(now, counts)
+        counts = Counts(size, states)
+        pools = Pools(Model(**sent.value), counts)
         for b in batches:
             for x in b.column(0):
-                pools.add(reader.symbols(tokens(x.as_py()))[0])
+                pools.add(np.frombuffer(x.as_py(), "<u2").astype(np.int32))
         pools.finish()
         some = np.flatnonzero(counts.rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(counts.rows[some, j]) for j in range(states)]], ["row", *[f"s{j}" for j in range(states)]])
 
-    sums = docs.select(text_col).mapInArrow(run, "row long, " + ", ".join(f"s{j} double" for j in range(states)))
+    sums = sequences.mapInArrow(run, "row long, " + ", ".join(f"s{j} double" for j in range(states)))
     total = Counts(size, states)
     found = sums.groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)]).toArrow()
     at = found.column("row").to_numpy()
@@ -393,17 +450,16 @@ def _full_round(docs: DataFrame, text_col: str, shared, model: Model, unigram: n
     return total.model(unigram)
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, seed: int = 1):
+def train(docs: DataFrame, text_col: str = "text", states: int = STATES, seed: int = 1):
     """Vocabulary (broadcast), model and staged word counts of docs, which are all training documents."""
     counts = staged(word_counts(docs, text_col), "words")
     vocab, texts = vocabulary(counts)
     unigram = vocab.unigram(texts)
-    unit = F.pmod(F.xxhash64(F.lit("first"), id_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = docs.where((unit * texts <= SAMPLE_DOCS) & (F.char_length(text_col) <= SAMPLE_CHARS)).select(unit.alias("u"), F.col(text_col).alias("t")).collect()
-    model = _sample_rounds([t for _, t in sorted(few)], Reader(vocab), unigram, states, seed)
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocab))  # at most CARRIED words
+    sequences = staged(_sequences(docs, text_col, shared), "sequences")
+    model = fit_pairs(first_model(unigram, states, seed), pair_counts(sequences, shared), groups_of(vocab), unigram)
     for _ in range(FULL_ROUNDS):
-        model = _full_round(docs, text_col, shared, model, unigram)
+        model = _full_round(sequences, model, unigram)
     return shared, model, counts
 
 
@@ -413,10 +469,10 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     Learns from the rows where held_out is false and scores all rows. A text's tokens are its lower-cased words
     and one end; null and empty texts have the end alone; all texts are learned from and scored whole. base_score: add-one unigram log10 probability; score:
     log10 probability under the model. Rows are scored each by itself, also if ids repeat. Without training rows
-    all words are unknown. Columns with the names of the results are replaced. Empty in, empty out.
+    all words are unknown. Columns with the names of the results are replaced; id_col is kept for callers and not read. Empty in, empty out.
     """
     marked = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    shared, model, counts = train(marked.where(~F.col("held_out")), text_col, id_col, states)
+    shared, model, counts = train(marked.where(~F.col("held_out")), text_col, states)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     total = Vocabulary(**shared.value).n
     names = {text_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"}

@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairwell.llm import chat, hmm, simhash, suffix_dedup, token_counts
@@ -113,6 +114,56 @@ def test_expected_counts_equal_the_sum_over_all_paths(monkeypatch):
         assert got.rows == pytest.approx(want.rows, rel=1e-4, abs=1e-6)
 
 
+def test_hidden_markov_learns_from_documents_of_any_length(spark):
+    """Words of four kinds take turns, eight words a kind, in texts that are all very long: five bits a word by frequency, three by kind."""
+    rng = random.Random(13)
+    texts = [" ".join(f"word{k % 4}x{rng.randrange(8)}" for k in range(8000)) for _ in range(8)]
+    assert min(map(len, texts)) > 50_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in hmm.score_documents(docs, F.col("doc_id") >= 6).collect():
+        assert r.score - r.base_score > 0.9 * 2 * math.log10(2) * r.n_tokens
+
+
+def test_pairs_of_neighbours_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "PAIRS", 7)
+    monkeypatch.setattr(hmm, "HEAD", 5)
+    monkeypatch.setattr(hmm, "GROUPS", 6)
+    rng = random.Random(14)
+    texts = [None, "", "a", *[" ".join(rng.choice("aabbccdefghij") for _ in range(rng.randrange(40))) for _ in range(30)]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    vocab, _ = hmm.vocabulary(hmm.word_counts(docs, "text"))
+    shared = spark.sparkContext.broadcast(vars(vocab))
+    reader, group = hmm.Reader(vocab), hmm.groups_of(vocab)
+    want = np.zeros((2, vocab.symbols, 6))
+    for t in texts:
+        for a, b in itertools.pairwise(reader.symbols(hmm.tokens(t))[0].tolist()):
+            want[0, a, group[b]] += 1
+            want[1, b, group[a]] += 1
+    got = hmm.pair_counts(hmm._sequences(docs, "text", shared), shared)
+    assert (got == want).all() and got.any()
+
+
+def test_fitting_pairs_raises_their_likelihood(monkeypatch):
+    rng = np.random.default_rng(15)
+    model, group, unigram = tiny_model(rng), np.array([0, 1, 2, 1, 2]), np.full(5, 1e-9)
+    pairs = np.zeros((2, 5, 3))
+    for a, b in itertools.product(range(5), repeat=2):
+        n = int(rng.integers(0, 5000))
+        pairs[0, a, group[b]] += n
+        pairs[1, b, group[a]] += n
+    monkeypatch.setattr(hmm, "GROUPS", 3)
+    monkeypatch.setattr(hmm, "PAIR_ROUNDS", 1)
+    seen = []
+    for _ in range(20):
+        joint = model.start[:, None] * model.move
+        grouped = np.stack([np.bincount(group, model.emit[:, j], 3) for j in range(3)], axis=1)
+        seen.append((pairs[0] * np.log(model.emit @ joint @ grouped.T)).sum() + (pairs[1] * np.log(model.emit @ joint.T @ grouped.T)).sum())
+        model = hmm.fit_pairs(model, pairs, group, unigram)
+    assert seen[-1] > seen[0] + 100
+    # a state's share is taken from both ends of a pair, so a round may lose a little
+    assert all(b > a - 1e-3 * abs(a) for a, b in itertools.pairwise(seen))
+
+
 def test_hidden_markov_beats_unigrams_on_held_out_documents(spark):
     got = [r for r in QUERIES["op2_hidden_markov"](spark, SF).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
