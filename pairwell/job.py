@@ -92,7 +92,7 @@ class MatchJob:
 
     def with_resident_check(self, until: str = "resident_until") -> MatchJob:
         """Candidates are resident at the anchor's event date, by the column of their last day (null: still)."""
-        return self.with_resident_check_by(lambda c, day: c(until).isNull() | (c(until) > day))
+        return self.with_constraint(must_be_resident(lambda c, day: c(until).isNull() | (c(until) > day), until=lambda c: c(until)))
 
     def with_resident_check_by(self, check: Callable[[Side, Column], Column]) -> MatchJob:
         return self.with_constraint(must_be_resident(check))

@@ -11,7 +11,8 @@ from pairwell.functions.distance import DistanceConfig
 from pairwell.operators.acceptance import TAKEN
 from pairwell.operators.candidates import candidate_edges, group_key
 from pairwell.operators.constraints import DEFAULT_RISK_SET, Constraint, RiskSetPolicy, Side
-from pairwell.operators.matching import Outcome, Strategy, Support, nearest_birth_date, select_pairs
+from pairwell.operators.matching import Outcome, Strategy, Support, nearest_birth_date, rule_of, select_pairs, served as served_pairs
+from pairwell.operators.serving import least
 from pairwell.plans.spec import CommonSupport, MatchingCriteria, RatioPolicy, Reason, TransitionOptions
 from pairwell.sources.cohort import CohortSchema, cohort
 
@@ -90,7 +91,19 @@ def match_transition(
     edges = candidate_edges(served, at_risk, criteria, config, constraints, risk)
     shared = bool(criteria.unique_by_key)
 
+    rule = rule_of(strategy, criteria, policy, config)
+    ends = [F.col("__event"), *[k.until(F.col) for k in constraints if k.until]]
+    times = all(t in ("date", "timestamp", "timestamp_ntz") for _, t in everyone.select(*ends).dtypes)
+    if risk_set != DEFAULT_RISK_SET or len(ends) <= len(constraints) or not times:
+        rule = None  # conditions of a run's own are tested pair by pair
+
     def select() -> DataFrame:
+        if rule:
+            at, until = (F.unix_micros(x.cast("timestamp")) for x in (F.col("__event"), least(ends)))
+            pool = at_risk.where("__inside") if trims else at_risk
+            got = served_pairs(served, pool, criteria, rule, config, F.lit(""), shared, at, until)
+            if got is not None:
+                return got
         return select_pairs(edges, served, criteria, policy, strategy(), F.lit(""), shared)
 
     return Outcome(select, served, at_risk, edges, criteria, policy, config, True, support, risk=risk, notes={"constraints": list(constraints)})
