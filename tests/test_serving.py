@@ -93,6 +93,19 @@ def test_a_crowded_day_is_served_without_edges(spark, strategy):
         assert [c for _, c in pairs] == [f"c{k:05}" for k in range(3000)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("unique", [None, "family"])
+@pytest.mark.parametrize("replacement", [False, True])
+def test_exclusions_of_a_window_are_counted_without_pairs(spark, monkeypatch, seed, unique, replacement):
+    a, c = sides(spark, seed)
+    criteria = MatchingCriteria(birth_window_days=4, ratio=2, required_strata=("town",), unique_by_key=unique, allow_replacement=replacement)
+    got = match_standard(a, c, SCHEMA, criteria)
+    want = {k: n for k, n in diagnostics._counted(diagnostics.classified(got, got.edges)).items() if n}
+    monkeypatch.setattr(diagnostics, "classified", lambda *_: pytest.fail("pairs were built"))
+    assert {(r.category, r.reason.split(":")[-1]): r.n for r in got.exclusions().collect()} == want
+    assert want
+
+
 def test_questions_of_rank_and_place():
     rng = np.random.default_rng(1)
     rank, low, than = rng.permutation(50), rng.integers(0, 40, 30), rng.integers(-1, 50, 30)
