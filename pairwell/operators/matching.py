@@ -14,7 +14,7 @@ from pairwell.operators import diagnostics, weights
 from pairwell.operators.acceptance import TAKEN, chosen, deferred_acceptance, serial_pass
 from pairwell.operators.candidates import candidate_edges, eligible, group_key
 from pairwell.operators.constraints import Constraint
-from pairwell.operators.serving import IN_ORDER, NEAREST, RANDOM, Rule, serve
+from pairwell.operators.serving import IN_ORDER, NEAREST, RANDOM, Rule, nearest_reused, serve
 from pairwell.plans.spec import Estimand, MatchingCriteria, MatchRatio, RatioPolicy, Reason
 from pairwell.sources.cohort import CohortSchema, cohort
 from pairwell.sources.staging import written
@@ -131,7 +131,7 @@ def rule_of(strategy: Strategy, criteria: MatchingCriteria, policy: RatioPolicy,
 def served(anchors: DataFrame, candidates: DataFrame, criteria: MatchingCriteria, rule: Rule, config: DistanceConfig | None, scope: Column, together: bool, at: Column | None = None, until: Column | None = None) -> DataFrame | None:
     """The greedy pass over records, or None where each anchor's choice is its own and needs edges."""
     if criteria.allow_replacement and not criteria.unique_by_key:
-        return None
+        return nearest_reused(anchors, candidates, rule) if rule.order == NEAREST and not rule.scored and until is None else None
     if rule.scored:
         anchors, candidates = config.attach(anchors), config.attach(candidates)
     return serve(anchors, candidates, rule, resource(criteria, scope), together, at, until)

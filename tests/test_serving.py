@@ -81,6 +81,18 @@ def test_passes_over_edges_remain_for_conditions_of_a_runs_own(spark):
     assert sorted(map(str, got.selected.collect())) == sorted(map(str, serial(got, nearest_birth_date())))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("steps", [(), (3, 1)])
+def test_lists_of_a_day_are_what_each_anchor_would_choose(spark, seed, steps):
+    a, c = sides(spark, seed)
+    criteria = MatchingCriteria(birth_window_days=4, ratio=2, required_strata=("town",), allow_replacement=True)
+    got = match_standard(a, c, SCHEMA, criteria, fallback=[MatchRatio(s) for s in steps])
+    want = select_pairs(got.edges, got.anchors, criteria, got.policy, nearest_birth_date(), F.col("grp"), False)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got.selected) == rows(want)
+    assert got.selected.where("a_id = c_id").isEmpty()
+
+
 @pytest.mark.parametrize("strategy", [nearest_birth_date, random_order(5)])
 def test_a_crowded_day_is_served_without_edges(spark, strategy):
     """3000 anchors and 3000 candidates of one day and stratum: nine million edges, of which lists would hold the same few."""
@@ -93,6 +105,33 @@ def test_a_crowded_day_is_served_without_edges(spark, strategy):
         assert [c for _, c in pairs] == [f"c{k:05}" for k in range(3000)]
 
 
+def test_with_replacement_a_crowded_day_gives_one_list(spark):
+    who = lambda p: spark.range(3000).select(F.concat(F.lit(p), F.lpad("id", 5, "0")).alias("id"), F.lit("2010-01-01").cast("date").alias("born"), F.lit("x").alias("town"), F.lit(None).cast("string").alias("family"))
+    got = match_standard(who("a"), who("c"), SCHEMA, MatchingCriteria(birth_window_days=30, ratio=2, required_strata=("town",), allow_replacement=True))
+    joined = got.select()
+    joined.collect()
+    most = max(int(x.split(": ")[1].replace(",", "")) for x in metric_rows(joined))
+    assert most <= 6000
+    assert {(r.a_id, r.c_id) for r in got.selected.collect()} == {(f"a{k:05}", f"c{j:05}") for k in range(3000) for j in range(2)}
+
+
+def metric_rows(df) -> list[str]:
+    """Output rows of every step of a plan that has run."""
+    out: list[str] = []
+
+    def walk(node) -> None:
+        name = node.getClass().getSimpleName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            out.append(f"{name}: {found.get().value()}")
+        for child in [inner] if inner is not None else [node.children().apply(k) for k in range(node.children().size())]:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("unique", [None, "family"])
 @pytest.mark.parametrize("replacement", [False, True])
