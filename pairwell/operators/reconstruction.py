@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -70,6 +72,117 @@ def _linked(rows: DataFrame) -> DataFrame:
     return rows.join(named, same).select(*rows.columns, "part")
 
 
+class _Open:
+    """Cases of one place that have one number of controls, by birth date and name, and those without a birth date by name."""
+
+    def __init__(self, named: bool):
+        self.dated: list[tuple[int, int]] = []
+        self.undated: list[int] = []
+        self.all: list[int] | None = [] if named else None
+
+    def add(self, name: int, born: int | None) -> None:
+        if born is None:
+            insort(self.undated, name)
+        else:
+            insort(self.dated, (born, name))
+        if self.all is not None:
+            insort(self.all, name)
+
+    def remove(self, name: int, born: int | None) -> None:
+        if born is None:
+            del self.undated[bisect_left(self.undated, name)]
+        else:
+            del self.dated[bisect_left(self.dated, (born, name))]
+        if self.all is not None:
+            del self.all[bisect_left(self.all, name)]
+
+    def first(self, born: int | None, caliper: int, allowed: Callable[[int], bool]) -> int | None:
+        """The nearest birth date, then the least name, of those that are allowed; unknown differences come last."""
+        if born is None:
+            return next(filter(allowed, self.all), None)
+        rows = self.dated
+        up = bisect_left(rows, (born, -1))
+        down = up - 1
+        while up < len(rows) or down >= 0:
+            above = rows[up][0] - born if up < len(rows) else None
+            below = born - rows[down][0] if down >= 0 else None
+            gap = min(x for x in (above, below) if x is not None)
+            if caliper and gap > caliper:
+                break
+            found = []
+            if above == gap:
+                day = rows[up][0]
+                while up < len(rows) and rows[up][0] == day:
+                    if allowed(rows[up][1]):
+                        found.append(rows[up][1])
+                        up = bisect_left(rows, (day + 1, -1), up)
+                        break
+                    up += 1
+            if below == gap:
+                day = rows[down][0]
+                start = at = bisect_left(rows, (day, -1), 0, down + 1)
+                while at <= down:
+                    if allowed(rows[at][1]):
+                        found.append(rows[at][1])
+                        break
+                    at += 1
+                down = start - 1
+            if found:
+                return min(found)
+        return next(filter(allowed, self.undated), None)
+
+
+def serve(table: pa.Table, ratio: int, caliper: int) -> pa.Table:
+    """The pairs of one task's rows. Cases are kept sorted, by place and number of controls, so that a control finds
+    its case without a look at the others."""
+    table = table.sort_by([("ord", "ascending"), ("person_id", "ascending")])
+    person, family, born, exposed, date = (table.column(c).to_pylist() for c in ("person_id", "family", "born", "exposed", "index_date"))
+    places = {kind: table.column(kind).to_pylist() for kind in ("mun", "reg")}
+    cases = [i for i, x in enumerate(exposed) if x]
+    named = any(b is None and not x for b, x in zip(born, exposed, strict=True))
+    by_name = sorted(cases, key=lambda i: (person[i] is not None, person[i] or "", i))
+    name = dict(zip(by_name, range(len(by_name)), strict=True))
+    of = {(kind, p): [_Open(named) for _ in range(ratio)] for kind in places for p in {places[kind][i] for i in cases} - {None}}
+    for i in by_name:  # in order of names, so that each is put at the end of those of its date
+        for kind in places:
+            if places[kind][i] is not None:
+                of[kind, places[kind][i]][0].add(name[i], born[i])
+    controls = [0] * len(by_name)
+    out: list[tuple] = []
+    for i in range(len(person)):
+        if exposed[i]:
+            continue
+        who, kin = person[i], family[i]
+
+        def allowed(n: int) -> bool:
+            case = by_name[n]
+            return person[case] != who and (kin is None or family[case] != kin)
+
+        got = None
+        for kind, tier in (("mun", MUNICIPALITY), ("reg", REGION)):
+            for open_ in of.get((kind, places[kind][i]), ()):
+                got = open_.first(born[i], caliper, allowed)
+                if got is not None:
+                    break
+            if got is not None:
+                break
+        if got is None:
+            continue
+        case = by_name[got]
+        for k in places:
+            levels = of.get((k, places[k][case]))
+            if levels:
+                levels[controls[got]].remove(got, born[case])
+                if controls[got] + 1 < ratio:
+                    levels[controls[got] + 1].add(got, born[case])
+        controls[got] += 1
+        days = None if born[case] is None or born[i] is None else abs(born[case] - born[i])
+        out.append((person[case], who, date[case], tier, days))
+    cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+    kinds = (pa.string(), pa.string(), pa.date32(), pa.string(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["case_id", "control_id", "index_date", "tier", "days"])
+
+
 def reconstruct_pairs(episodes: DataFrame, options: ReconstructionOptions = ReconstructionOptions(), order: str = "ord") -> Reconstruction:
     """episodes(person_id, index_date, exposed, sex, municipality, region, family_id, birth_date, <order>).
 
@@ -90,43 +203,7 @@ def reconstruct_pairs(episodes: DataFrame, options: ReconstructionOptions = Reco
     wanted = _linked(cases.unionByName(rows.where("not exposed")))
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        by_place: dict[tuple, list[int]] = {}
-        assigned: dict[int, int] = {}
-        who = table.sort_by([("ord", "ascending"), ("person_id", "ascending")]).to_pylist()
-        for i, r in enumerate(who):
-            if r["exposed"]:
-                assigned[i] = 0
-                for kind in ("mun", "reg"):
-                    if r[kind] is not None:
-                        by_place.setdefault((kind, r[kind]), []).append(i)
-
-        def days(x: dict, y: dict) -> int | None:
-            return None if x["born"] is None or y["born"] is None else abs(x["born"] - y["born"])
-
-        def pick(kind: str, control: dict) -> tuple | None:
-            found = None
-            for i in by_place.get((kind, control[kind]), ()) if control[kind] is not None else ():
-                case, gap = who[i], days(who[i], control)
-                if assigned[i] >= ratio or case["person_id"] == control["person_id"] or (case["family"] is not None and case["family"] == control["family"]) or (caliper and gap is not None and gap > caliper):
-                    continue
-                mark = (assigned[i], 2**62 if gap is None else gap, case["person_id"], i)
-                found = mark if found is None else min(found, mark)
-            return found
-
-        for control in who:
-            if control["exposed"]:
-                continue
-            for kind, tier in (("mun", MUNICIPALITY), ("reg", REGION)):
-                got = pick(kind, control)
-                if got is not None:
-                    assigned[got[3]] += 1
-                    case = who[got[3]]
-                    out.append((case["person_id"], control["person_id"], case["index_date"], tier, days(case, control)))
-                    break
-        cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.date32(), pa.string(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["case_id", "control_id", "index_date", "tier", "days"])
+        return serve(table, ratio, caliper)
 
     got = wanted.groupBy("index_date", "sex_key", "part").applyInArrow(run, "case_id string, control_id string, index_date date, tier string, days long")
     return Reconstruction(written(got, "reconstructed"), cases.select("person_id").distinct())
