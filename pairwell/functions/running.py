@@ -11,7 +11,7 @@ from pairwell.sources.staging import written
 
 
 def running_counts(rows: DataFrame, keys: Sequence[str], by: str, sums: Mapping[str, Column]) -> DataFrame:
-    """(keys, by, cum_<name>): per key and distinct value, the sums of all rows up to it.
+    """(keys, by, <name>, cum_<name>): per key and distinct value, its own sums and those of all rows up to it.
 
     Distinct values are range-partitioned and summed within each partition; the totals of earlier partitions, a
     table of partitions times keys, are added.
@@ -23,22 +23,6 @@ def running_counts(rows: DataFrame, keys: Sequence[str], by: str, sums: Mapping[
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy(*keys, "__part").agg(*[F.sum(k).alias(k) for k in name])
     offsets = totals.select(*keys, "__part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__off_{k}") for k in name])
-    out = parts.select(*keys, by, "__part", *[F.sum(k).over(within).alias(f"__in_{k}") for k in name])
+    out = parts.select(*keys, by, "__part", *name, *[F.sum(k).over(within).alias(f"__in_{k}") for k in name])
     out = out.join(F.broadcast(offsets), [*keys, "__part"])
-    return out.select(*keys, by, *[(F.col(f"__in_{k}") + F.col(f"__off_{k}")).alias(f"cum_{k}") for k in name])
-
-
-def indexed(rows: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
-    """rows with idx, the place of each (from 0) among those of its keys in the order of by; ties in any order.
-
-    Rows are range-partitioned by keys, value and a random number, so that neither a key nor a value that very
-    many rows share is one task's, and numbered within their partition after the counts of earlier ones.
-    """
-    salted = rows.withColumn("__salt", F.rand(5))
-    parts = written(salted.repartitionByRange(*keys, by, "__salt").withColumn("__part", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = totals.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    within = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(by, "__salt"))
-    out = parts.withColumn("__in", within).join(F.broadcast(offsets), [*keys, "__part"])  # partitions times keys
-    return out.withColumn("idx", F.col("__in") - 1 + F.col("__off")).drop("__salt", "__part", "__in", "__off")
+    return out.select(*keys, by, *name, *[(F.col(f"__in_{k}") + F.col(f"__off_{k}")).alias(f"cum_{k}") for k in name])

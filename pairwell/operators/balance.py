@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import covariates as cov
-from pairwell.functions.running import indexed, running_counts
+from pairwell.functions.running import running_counts
 from pairwell.plans.spec import BalanceThresholds, Transform
 from pairwell.sources.cohort import finite
 from pairwell.sources.staging import written
 
 PHASES = ("pre", "post")
+#: Places of the grid of quantiles that one task compares at once.
+STRETCH = 500_000
 METRICS = ("mean_case", "mean_control", "smd", "variance_ratio", "ecdf_mean", "ecdf_max", "eqq_mean", "eqq_max")
 
 
@@ -44,42 +49,56 @@ def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def ecdf_distances(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, ecdf_mean, ecdf_max) of counted(keys, x, k_case, k_control): distances over the pooled distinct values."""
-    sums = {"case": F.col("k_case"), "control": F.col("k_control")}
-    cum = running_counts(counted, keys, "x", sums)
-    n = counted.groupBy(*keys).agg(F.sum("k_case").alias("n_case"), F.sum("k_control").alias("n_control"))
-    gap = F.abs(F.try_divide(F.col("cum_case"), F.col("n_case")) - F.try_divide(F.col("cum_control"), F.col("n_control")))
+def ecdf_distances(cum: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ecdf_mean, ecdf_max) of cum(keys, x, k_case, k_control, cum_k_case, cum_k_control): distances over the pooled distinct values."""
+    n = cum.groupBy(*keys).agg(F.sum("k_case").alias("n_case"), F.sum("k_control").alias("n_control"))
+    gap = F.abs(F.try_divide(F.col("cum_k_case"), F.col("n_case")) - F.try_divide(F.col("cum_k_control"), F.col("n_control")))
     return cum.join(F.broadcast(n), [*keys]).groupBy(*keys).agg(_zero(F.avg(gap)).alias("ecdf_mean"), _zero(F.max(gap)).alias("ecdf_max"))  # n: a row per covariate and phase
 
 
-def eqq_distances(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+def eqq_distances(cum: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, eqq_mean, eqq_max): distances of quantiles on the grid of the larger side's order statistics.
 
     The larger side's quantiles on that grid are its sorted values; the smaller side's are interpolated between
-    the two values around, which meet the grid by an equi-join on their place.
+    the two values around. A value goes, with its places and how many have it, to the stretches of the grid that it
+    bears on; within a stretch it is written out as often as it occurs.
     """
-    n = counted.groupBy(*keys).agg(F.sum("k_case").alias("n_case"), F.sum("k_control").alias("n_control"))
+    n = cum.groupBy(*keys).agg(F.sum("k_case").alias("n_case"), F.sum("k_control").alias("n_control"))
     n = F.broadcast(n.where("n_case > 0 and n_control > 0"))  # a row per covariate and phase
-    chunk = 10_000  # a value that very many rows share is written out in pieces, and these are then dealt out
-    sides = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"k_{r}").alias("k")) for r in ("case", "control")])
-    pieces = counted.select(*keys, "x", F.explode(sides).alias("s")).where("s.k > 0")
-    pieces = pieces.select(*keys, "x", "s.role", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s.k") - 1, F.lit(chunk).cast("long"))).alias("at"), F.col("s.k").alias("k"))
-    pieces = pieces.select(*keys, "x", "role", F.least(F.col("k") - F.col("at"), F.lit(chunk)).cast("int").alias("k"), "at").repartition(*keys, "x", "at")
-    rows = pieces.select(*keys, "x", "role", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("__one")).drop("__one")
-    placed = written(indexed(rows, [*keys, "role"], "x").join(n, [*keys]), "order")
-    big = F.when(F.col("n_case") >= F.col("n_control"), "case").otherwise("control")
-    last = F.greatest("n_case", "n_control", F.lit(2)) - 1
-    fewer = F.least("n_case", "n_control") - 1
-    grid = placed.where(F.col("role") == big).withColumns({"last": last, "fewer": fewer})
-    whole = "cast(idx as decimal(19,0)) * cast(fewer as decimal(19,0))"  # beyond 64 bits for very large samples
-    grid = grid.withColumns({"at": F.expr(f"cast({whole} div cast(last as decimal(19,0)) as bigint)"), "rest": F.expr(f"cast({whole} % cast(last as decimal(19,0)) as bigint)")})
-    small = placed.where(F.col("role") != big).select(*keys, "x", "idx")
-    around = small.select(*keys, F.explode(F.array(F.struct(F.col("idx").alias("at"), F.col("x").alias("low"), F.lit(None).cast("double").alias("high")), F.struct((F.col("idx") - 1).alias("at"), F.lit(None).cast("double").alias("low"), F.col("x").alias("high")))).alias("v"))
-    around = around.select(*keys, "v.*").groupBy(*keys, "at").agg(F.max("low").alias("low"), F.max("high").alias("high"))
-    q = F.when(F.col("rest") == 0, F.col("low")).otherwise(F.col("low") + F.col("rest") / F.col("last") * (F.coalesce("high", "low") - F.col("low")))
-    gap = F.abs(F.col("x") - q)
-    return grid.join(around, [*keys, "at"]).groupBy(*keys).agg(F.avg(gap).alias("eqq_mean"), F.max(gap).alias("eqq_max"))
+    sides = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"k_{r}").alias("k"), (F.col(f"cum_k_{r}") - F.col(f"k_{r}")).alias("at")) for r in ("case", "control")])
+    runs = cum.select(*keys, "x", F.explode(sides).alias("s")).where("s.k > 0").select(*keys, "x", "s.*").join(n, [*keys])
+    most, fewer = F.greatest("n_case", "n_control"), F.least("n_case", "n_control") - 1
+    runs = runs.withColumns({"large": (F.col("role") == "case") == (F.col("n_case") >= F.col("n_control")), "most": most, "fewer": fewer})
+    step = F.when(fewer > 0, (most - 1) / fewer)
+    first = F.when(F.col("large"), F.col("at")).otherwise(F.coalesce(F.floor((F.col("at") - 1) * step) - 2, F.lit(0)))  # some room for rounding
+    last = F.when(F.col("large"), F.col("at") + F.col("k") - 1).otherwise(F.coalesce(F.ceil((F.col("at") + F.col("k")) * step) + 2, most))
+    stretch = lambda i: F.floor(F.least(F.greatest(i, F.lit(0)), most - 1) / STRETCH)
+    dealt = runs.select(*keys, "x", "k", "at", "large", "most", "fewer", F.explode(F.sequence(stretch(first), stretch(last))).alias("stretch"))
+    schema = ", ".join(f"{k} string" for k in keys) + ", total double, n long, most double"
+    parts = dealt.groupBy(*keys, "stretch").applyInArrow(lambda t: _stretch(t, list(keys), STRETCH), schema)
+    return parts.groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias("eqq_mean"), F.max("most").alias("eqq_max"))
+
+
+def _stretch(table: pa.Table, keys: list[str], size: int) -> pa.Table:
+    """The sum, number and greatest of the distances on one stretch of the grid."""
+    large = table.column("large").to_numpy()
+    x, k, at = (table.column(c).to_numpy() for c in ("x", "k", "at"))
+    n, fewer, start = table.column("most")[0].as_py(), table.column("fewer")[0].as_py(), table.column("stretch")[0].as_py() * size
+    end, last = min(start + size, n), max(n, 2) - 1
+
+    def written_out(which: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The values at places low to high - 1 of a side."""
+        order = np.argsort(at[which])
+        places = at[which][order]
+        return np.repeat(x[which][order], np.maximum(np.minimum(places + k[which][order], high) - np.maximum(places, low), 0))
+
+    whole, over = divmod(start * fewer, last)  # beyond 64 bits for very large samples
+    more = over + np.arange(end - start) * fewer
+    lower, rest = whole + more // last, more % last
+    few = written_out(~large, int(lower[0]), min(int(lower[-1]) + 1, fewer) + 1)
+    low, high = few[lower - lower[0]], few[np.minimum(lower + 1, fewer) - lower[0]]
+    gap = np.abs(written_out(large, start, end) - np.where(rest == 0, low, low + rest / last * (high - low)))
+    return pa.table([*[table.column(c).slice(0, 1) for c in keys], [float(gap.sum())], [len(gap)], [float(gap.max())]], names=[*keys, "total", "n", "most"])
 
 
 def numeric_balance(sampled: DataFrame, features: Sequence[str] | Mapping[str, Column], eqq: bool = True) -> DataFrame:
@@ -105,7 +124,8 @@ def numeric_balance(sampled: DataFrame, features: Sequence[str] | Mapping[str, C
     means = F.broadcast(means)  # two rows per covariate, as all that follows
     var = lambda r: _zero(F.try_divide(F.sum(F.col(f"k_{r}") * F.pow(F.col("x") - F.col(f"mean_{r}"), F.lit(2.0))), n(r)))
     spread = counted.join(means, keys).groupBy(*keys).agg(var("case").alias("var_case"), var("control").alias("var_control"))
-    parts = [means, spread, ecdf_distances(counted, keys)] + ([eqq_distances(counted, keys)] if eqq else [])
+    cum = written(running_counts(counted, keys, "x", {c: F.col(c) for c in ("k_case", "k_control")}), "running")
+    parts = [means, spread, ecdf_distances(cum, keys)] + ([eqq_distances(cum, keys)] if eqq else [])
     out = spine
     for p in parts:
         out = out.join(F.broadcast(p), keys, "left")
@@ -198,10 +218,21 @@ class BalanceOptions:
 
 @dataclass(frozen=True)
 class BalanceReport:
-    """numeric: numeric_balance of all numeric features, by phase; categorical: categorical_balance of the others."""
+    """numeric: numeric_balance of all numeric features, by phase; categorical: categorical_balance of the others.
 
-    numeric: DataFrame | None
-    categorical: DataFrame | None
+    Either is computed when it is first asked for.
+    """
+
+    numbers: Callable[[], DataFrame | None]
+    levels: Callable[[], DataFrame | None]
+
+    @cached_property
+    def numeric(self) -> DataFrame | None:
+        return self.numbers()
+
+    @cached_property
+    def categorical(self) -> DataFrame | None:
+        return self.levels()
 
     def wide(self) -> DataFrame | None:
         return wide(self.numeric) if self.numeric is not None else None
@@ -234,9 +265,10 @@ def balance_report(cases: DataFrame, controls: DataFrame, pairs: DataFrame, opti
             other = sorted({*other, *known} - set(numeric))
     slim = lambda df: df.select(F.col(id_col).alias("id"), F.col(column).alias("covariates"))
     sampled = samples(slim(cases), slim(controls), pairs, "id")
-    numbers = numeric_balance(sampled, numeric_features(numeric, options.transform)) if numeric else None
-    levels = categorical_balance(sampled, {k: cov.level("covariates", k) for k in other}, {k: cov.present("covariates", k) for k in other}) if other else None
-    return BalanceReport(numbers, levels)
+    return BalanceReport(
+        lambda: numeric_balance(sampled, numeric_features(numeric, options.transform)) if numeric else None,
+        lambda: categorical_balance(sampled, {k: cov.level("covariates", k) for k in other}, {k: cov.present("covariates", k) for k in other}) if other else None,
+    )
 
 
 def balance_diagnostics(cases: DataFrame, controls: DataFrame, pairs: DataFrame, strata: Mapping[str, str], id_col: str = "id") -> DataFrame:
